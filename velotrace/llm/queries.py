@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import sharding, url_filters
+from . import packing, sharding, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +24,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES |= {"op1_url_filters": op1_url_filters, "op2_sharding": op2_sharding}
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {
+    "op1_url_filters": op1_url_filters,
+    "op2_sharding": op2_sharding,
+    "op7_token_output": op7_token_output,
+    "op8_best_fit_packing": op8_best_fit_packing,
+}
 
 ORACLES["op1_url_filters"] = """
 WITH parts AS (
