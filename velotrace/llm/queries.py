@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_files, url_filters
+from . import bpe, packing, secrets, sharding, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 40)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -32,11 +36,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES |= {
     "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_token_output": op7_token_output,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLES["op1_url_filters"] = """
@@ -56,3 +66,5 @@ WITH parts AS (
 )
 SELECT s.page_id, s.host, s.path, h.rule, coalesce(h.action, 'allow') AS verdict FROM split s LEFT JOIN hit h USING (page_id)
 """
+
+ORACLES["op10_secret_scans"] = secrets.oracle()
