@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, _Index, blocks
+from .chunks import ChunkEncoder, _Index, blocks, texts_of
 from .common import gather, offsets, ship
 from .tokens import default_vocabulary
 
@@ -234,6 +234,12 @@ def encoder(path: str, pattern: str) -> tuple[Bpe, ChunkEncoder]:
     return bpe, ChunkEncoder(bpe, np.uint16 if bpe.size <= 65536 else np.uint32)
 
 
+def _encoded(batch: pa.RecordBatch, chunked: ChunkEncoder):
+    for at, texts in texts_of(batch):
+        for a, b in blocks(texts):
+            yield at + a, at + b, *chunked.encode_all(texts[a:b])
+
+
 def _texts(df: DataFrame) -> DataFrame:
     ship(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -245,9 +251,7 @@ def encode(df: DataFrame, ranks: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, chunked = encoder(ranks or default_ranks(), pattern or default_pattern())
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                flat, counts = chunked.encode_all(texts[a:b])
+            for a, b, flat, counts in _encoded(batch, chunked):
                 lists = pa.ListArray.from_arrays(pa.array(offsets(counts).astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
 
@@ -273,9 +277,7 @@ def digests(df: DataFrame, ranks: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, chunked = encoder(ranks or default_ranks(), pattern or default_pattern())
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                flat, counts = chunked.encode_all(texts[a:b])
+            for a, b, flat, counts in _encoded(batch, chunked):
                 at = offsets(counts)
                 decoded, decimals = bpe.decode(flat), bpe.decimals(flat)
                 bytes_at, digits_at = offsets(bpe.token_sizes[flat])[at].tolist(), offsets(bpe.digit_sizes[flat])[at].tolist()

@@ -2,21 +2,21 @@
 
 The pattern of byte-level vocabularies attaches one space to the word that follows. A cut before a space is therefore
 a token boundary unless white space stands on both sides of it (or before it and the text's end behind it), where the
-run of white space is one match. Texts with such a run are taken whole; all others are cut at every space, and each
-distinct chunk is encoded once.
+run of white space is one match. The same holds before a line feed that follows no white space. Short runs are kept
+together; texts with other runs are taken whole; each distinct chunk is encoded once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 
 from .common import gather, offsets
 
 #: Distinct chunks, and their characters, that a worker keeps between batches; a bound on memory, without effect on results.
-KEEP, KEEP_CHARS = 500_000, 12_000_000
+KEEP, KEEP_CHARS = 400_000, 8_000_000
 #: Characters of text that are encoded at a time.
 BLOCK = 2_000_000
 
@@ -34,6 +34,12 @@ class _Index(dict):
         return n
 
 
+def _cut(text: str) -> list[str]:
+    if "\n" not in text:
+        return text.replace(" ", "\0 ").split("\0")
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").replace("\n\0\n", "\n\n").replace(" \0\n", " \n").split("\0")
+
+
 class ChunkEncoder:
     """Encodes texts by way of their distinct chunks, which encode(list of str) -> (flat ids, counts) handles."""
 
@@ -46,6 +52,22 @@ class ChunkEncoder:
         self.ids = np.zeros(0, self.dtype)
         self.at = np.zeros(1, np.int64)
         self.opens = self.closes = np.zeros(0, bool)
+        self.used = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Forgets the chunks that were met once, or all if that isn't enough."""
+        stay = self.used > 1
+        keys = list(compress(self.known, stay))
+        chars = sum(map(len, keys))
+        if 2 * len(keys) > self.keep or 2 * chars > self.keep_chars:
+            self.clear()
+            return
+        self.known, self.chars = _Index(), chars
+        self.known.update(zip(keys, range(len(keys))))
+        sizes = np.diff(self.at)[stay]
+        self.ids = gather(self.ids, self.at[:-1][stay], sizes)
+        self.at = offsets(sizes)
+        self.opens, self.closes, self.used = self.opens[stay], self.closes[stay], np.ones(len(keys), np.int64)
 
     def _learn(self) -> None:
         new, self.known.new = self.known.new, []
@@ -54,20 +76,21 @@ class ChunkEncoder:
         self.ids = np.concatenate([self.ids, ids.astype(self.dtype)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         # str.isspace covers at least what the pattern takes for white space
-        self.opens = np.concatenate([self.opens, np.fromiter((x[0:1] == " " and (len(x) == 1 or x[1].isspace()) for x in new), bool, len(new))])
+        self.opens = np.concatenate([self.opens, np.fromiter((x[0:1] == "\n" or x[0:1] == " " and (len(x) == 1 or x[1].isspace()) for x in new), bool, len(new))])
         self.closes = np.concatenate([self.closes, np.fromiter((x[-1:].isspace() for x in new), bool, len(new))])
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
         if len(self.known) > self.keep or self.chars > self.keep_chars:
-            self.clear()
-        cut = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else [""] for t in texts]
+            self.shrink()
+        cut = [_cut(t) if "\0" not in t else [""] for t in texts]
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         at = offsets(sizes)
         index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, at[-1])
         del cut
         if self.known.new:
             self._learn()
+        self.used = np.pad(self.used, (0, len(self.known) - len(self.used))) + np.bincount(index, minlength=len(self.known))
         lens = np.diff(self.at)[index]
         counts = np.diff(offsets(lens)[at])
         flat = gather(self.ids, self.at[index], lens)
@@ -85,6 +108,12 @@ class ChunkEncoder:
         return flat, counts
 
 
+def texts_of(batch, column: int = 1, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
+    """A batch's texts as Python strings, few rows at a time: first row and texts; null counts as empty."""
+    for at in range(0, batch.num_rows, rows):
+        yield at, [t or "" for t in batch.column(column).slice(at, rows).to_pylist()]
+
+
 def blocks(texts: list[str], most: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about most characters each, one text at least."""
     begin = total = 0

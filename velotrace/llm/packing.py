@@ -47,7 +47,7 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
         path = vocabulary or default_vocabulary()
         for batch in batches:
             keys = batch.column(0)
-            for a, b, flat, counts in encode_blocks(batch.column(1).to_pylist(), path):
+            for a, b, flat, counts in encode_blocks(batch, path):
                 ids = np.insert(flat.astype("<u4"), np.cumsum(counts), end_id)
                 counts = counts + 1
                 doc, start, length = cut(counts, capacity)

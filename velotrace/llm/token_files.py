@@ -208,7 +208,7 @@ def write(df: DataFrame, path: str, end_id: int = END_ID, vocabulary: str | None
                     tmp = f"{root}/.{shard_name(part)}-{attempt}"
                     out = fs.open_output_stream(f"{tmp}.ids")
                 key = batch.column(0).fill_null(int(NULL_KEY)).to_numpy(zero_copy_only=False)
-                for a, b, flat, n_ids in encode_blocks(batch.column(1).to_pylist(), vocab):
+                for a, b, flat, n_ids in encode_blocks(batch, vocab):
                     ids = np.insert(flat, np.cumsum(n_ids), end_id).astype(f"<u{item}")
                     out.write(memoryview(ids).cast("B"))
                     keys.append(key[a:b])
