@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, secrets, sharding, token_files, url_filters
+from . import bpe, media, packing, secrets, sharding, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES |= {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_output": op7_token_output,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_media_columns": op9_media_columns,
     "op10_secret_scans": op10_secret_scans,
 }
 
