@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, knn, media, packing, secrets, sharding, token_files, url_filters
+from . import bpe, jaccard, knn, langid, media, packing, secrets, sharding, token_files, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.documents(table(spark, sf_dir, "documents")).select("doc_id", "language.*")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES |= {
     "op2_sharding": op2_sharding,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_language_id": op5_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_output": op7_token_output,
     "op8_best_fit_packing": op8_best_fit_packing,
