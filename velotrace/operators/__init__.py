@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Operators: functions from DataFrames to DataFrames."""
