@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Axial steps to the six neighbours. Fixed values.
@@ -17,18 +17,19 @@ def circumradius(size: float) -> float:
     return math.sqrt(size * size / (1.5 * SQRT3))
 
 
-def axial(x: Column, y: Column, size: float) -> tuple[Column, Column]:
-    """SP5 and SP6: the hexagon of a point; ties as the cube rounding has them."""
-    r_ = circumradius(size)
-    qf, rf = (x * (SQRT3 / 3) - y / 3) / r_, (y * (2.0 / 3)) / r_
-    sf = -qf - rf
-    q, r, s = F.rint(qf), F.rint(rf), F.rint(sf)
-    dq, dr, ds = F.abs(q - qf), F.abs(r - rf), F.abs(s - sf)
-    fix_q = (dq > ds) & (dq > dr)
-    return (
-        F.when(fix_q, -s - r).otherwise(q).cast("long"),
-        F.when(fix_q | (ds > dr), r).otherwise(-q - s).cast("long"),
-    )
+def with_axial(df: DataFrame, size: float, x: str = "x", y: str = "y", q: str = "q", r: str = "r") -> DataFrame:
+    """SP5 and SP6: df with the hexagon of a point; ties as the cube rounding has them."""
+    c = circumradius(size)
+    d = df.withColumns({"_qf": (F.col(x) * (SQRT3 / 3) - F.col(y) / 3) / c, "_rf": (F.col(y) * (2.0 / 3)) / c})
+    qf, rf = F.col("_qf"), F.col("_rf")
+    d = d.withColumns({"_q": F.rint(qf), "_r": F.rint(rf), "_s": F.rint(-qf - rf)})
+    d = d.withColumns({"_dq": F.abs(F.col("_q") - qf), "_dr": F.abs(F.col("_r") - rf), "_ds": F.abs(F.col("_s") - (-qf - rf))})
+    fix_q = (F.col("_dq") > F.col("_ds")) & (F.col("_dq") > F.col("_dr"))
+    fixed = {
+        q: F.when(fix_q, -F.col("_s") - F.col("_r")).otherwise(F.col("_q")).cast("long"),
+        r: F.when(fix_q | (F.col("_ds") > F.col("_dr")), F.col("_r")).otherwise(-F.col("_q") - F.col("_s")).cast("long"),
+    }
+    return d.withColumns(fixed).drop("_qf", "_rf", "_q", "_r", "_s", "_dq", "_dr", "_ds")
 
 
 def centre(q: Column, r: Column, size: float) -> tuple[Column, Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 A, FLAT, K0, LON0, X0 = 6378137.0, 1 / 298.257223563, 0.9996, 117.0, 500000.0
@@ -25,16 +25,15 @@ BETA = (
 )
 
 
-def forward(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Metres east and north of degrees."""
-    phi, lam = F.radians(lat), F.radians(lon - LON0)
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - E * F.atanh(E * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
+def with_utm(df: DataFrame, lon: str = "longitude", lat: str = "latitude", x: str = "x", y: str = "y") -> DataFrame:
+    """df with metres east and north of degrees. Each step is a column of its own, so no expression is repeated."""
+    lam = F.radians(F.col(lon) - LON0)
+    d = df.withColumn("_s", F.sin(F.radians(F.col(lat)))).withColumn("_t", F.sinh(F.atanh("_s") - E * F.atanh(E * F.col("_s"))))
+    d = d.withColumns({"_xi": F.atan2("_t", F.cos(lam)), "_eta": F.asinh(F.sin(lam) / F.sqrt(F.col("_t") * F.col("_t") + F.cos(lam) * F.cos(lam)))})
+    xi, eta = F.col("_xi"), F.col("_eta")
     north = xi + sum((F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1)), F.lit(0.0))
     east = eta + sum((F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1)), F.lit(0.0))
-    return F.lit(X0) + F.lit(K0 * R) * east, F.lit(K0 * R) * north
+    return d.withColumns({x: F.lit(X0) + F.lit(K0 * R) * east, y: F.lit(K0 * R) * north}).drop("_s", "_t", "_xi", "_eta")
 
 
 def inverse(x: Column, y: Column) -> tuple[Column, Column]:

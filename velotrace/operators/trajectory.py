@@ -149,10 +149,8 @@ def congestion_events(df: DataFrame, speed: str, c: Settings = DEFAULT, digits:
     """Runs of low speed of two rows and three minutes at least, with the hexagon of their middle row."""
     broken = (F.col("trip_break") == 1) | (F.col("bad_coord") == 1)
     d = runs(df, ~broken & (F.col(speed) < c.event_speed_kmh), None, "_run").where("_flag")
-    q, r = hexagon(c.hex_size_m)
     key = F.struct("timestamp", "src_seq")
-    row = F.struct("timestamp", "src_seq", "latitude", "longitude", F.col("_q").alias("q"), F.col("_r").alias("r"))
-    d = d.withColumns({"_q": q, "_r": r, "_row": row})
+    d = with_hexagon(d, c.hex_size_m).withColumn("_row", F.struct("timestamp", "src_seq", "latitude", "longitude", "q", "r"))
     w = Window.partitionBy("taxi_id", "_run").orderBy("timestamp", "src_seq")
     d = d.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("taxi_id", "_run"))})
     g = d.groupBy("taxi_id", "_run").agg(
@@ -173,8 +171,9 @@ def congestion_events(df: DataFrame, speed: str, c: Settings = DEFAULT, digits:
     )
 
 
-def hexagon(size: float, lon: str = "longitude", lat: str = "latitude") -> tuple[Column, Column]:
-    return hexgrid.axial(*projection.forward(F.col(lon), F.col(lat)), size)
+def with_hexagon(df: DataFrame, size: float, q: str = "q", r: str = "r") -> DataFrame:
+    d = projection.with_utm(df, "longitude", "latitude", "_x", "_y")
+    return hexgrid.with_axial(d, size, "_x", "_y", q, r).drop("_x", "_y")
 
 
 def rides(df: DataFrame, c: Settings = DEFAULT) -> DataFrame:
@@ -193,9 +192,8 @@ def rides(df: DataFrame, c: Settings = DEFAULT) -> DataFrame:
     d = d.withColumns({"_new": changed.cast("int"), "_step": F.coalesce(step, F.lit(0.0))})
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumns({"_island": F.sum("_new").over(so_far), "_walked": F.sum("_step").over(so_far)})
-    q, r = hexagon(c.hex_size_m)
-    first = F.min_by(F.struct("timestamp", "latitude", "longitude", "event_type", "_walked", q.alias("q"), r.alias("r")), F.struct("timestamp", "src_seq"))
-    g = d.groupBy("taxi_id", "_stretch", "_island").agg(first.alias("a"), F.first("occupied").alias("occupied"), F.first("_group").alias("group_id"))
+    first = F.min_by(F.struct("timestamp", "latitude", "longitude", "event_type", "_walked", "q", "r"), F.struct("timestamp", "src_seq"))
+    g = with_hexagon(d, c.hex_size_m).groupBy("taxi_id", "_stretch", "_island").agg(first.alias("a"), F.first("occupied").alias("occupied"), F.first("_group").alias("group_id"))
     g = g.withColumn("b", F.lead("a").over(Window.partitionBy("taxi_id", "_stretch").orderBy("_island")))
     opened = (F.col("occupied") == 0) | (F.col("_island") > 1) | (F.col("a.event_type") == "pickup")
     g = g.where(F.col("b").isNotNull() & opened)

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import trajectory  # noqa: F401
+    from . import spatial, trajectory  # noqa: F401
 
 
 load()
