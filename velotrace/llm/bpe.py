@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder, _Index, blocks, texts_of
-from .common import gather, offsets, ship
+from .common import gather, held, offsets, ship
 from .tokens import default_vocabulary
 
 #: Cells of a matrix that is merged at a time.
@@ -227,11 +226,14 @@ class Bpe:
         return gather(self.digit_bytes, self.digit_at[ids], self.digit_sizes[ids])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> tuple[Bpe, ChunkEncoder]:
-    """One a worker process and vocabulary."""
-    bpe = Bpe(path, pattern)
-    return bpe, ChunkEncoder(bpe, np.uint16 if bpe.size <= 65536 else np.uint32)
+    """One a worker process."""
+
+    def make() -> tuple[Bpe, ChunkEncoder]:
+        bpe = Bpe(path, pattern)
+        return bpe, ChunkEncoder(bpe, np.uint16 if bpe.size <= 65536 else np.uint32)
+
+    return held(("bpe", path, pattern), make)
 
 
 def _encoded(batch: pa.RecordBatch, chunked: ChunkEncoder):

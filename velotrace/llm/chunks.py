@@ -16,9 +16,9 @@ import numpy as np
 from .common import gather, offsets
 
 #: Distinct chunks, and their characters, that a worker keeps between batches; a bound on memory, without effect on results.
-KEEP, KEEP_CHARS = 400_000, 8_000_000
+KEEP, KEEP_CHARS = 300_000, 6_000_000
 #: Characters of text that are encoded at a time.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 class _Index(dict):

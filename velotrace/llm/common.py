@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -10,15 +13,37 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = 1000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it was found by the driver's path alone."""
+    """Lets Python workers import this package where it was found by the driver's path alone, and bounds their batches.
+
+    Rows here hold whole documents, so the default of ten thousand rows a batch would be tens of megabytes many times.
+    """
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [have, ROOT]))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """What a worker keeps between tasks: the tables and caches of one operator at a time, so that workers stay small."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _held[key] = make()
+    return _held[key]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
 from itertools import chain
+from string import punctuation
 
 import numpy as np
 
 from .chunks import ChunkEncoder, _Index, blocks, texts_of
-from .common import gather, offsets
+from .common import gather, held, offsets
 
 #: Pieces that are one text for the library, and texts for one call of it.
 JOIN, CALL = 512, 16
@@ -26,9 +26,9 @@ def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class LibraryEncoder:
     """The tokenizers library on lists of chunks.
 
-    Most of the library's time goes into its splitting pattern. So chunks of Latin script are split here by the same
-    pattern, and each distinct piece is given to the library once, already split, many in a call; the tokens' lengths
-    in bytes tell where each piece ends. Other chunks, where tables of letters may differ between libraries, and
+    Much of the library's time goes into its splitting pattern. So chunks of Latin script are split here by the same
+    pattern, and each distinct piece is given to the library once, its bytes already written as the vocabulary's
+    characters, many in a call; the tokens' lengths in bytes tell where each piece ends. Other chunks, where tables of letters may differ between libraries, and
     vocabularies with another way of splitting are left to the library alone.
     """
 
@@ -47,9 +47,12 @@ class LibraryEncoder:
             import regex
 
             self.split = regex.compile(public_tokenizers.PATTERN)
-            self.whole = Tokenizer.from_file(path)
-            self.whole.encode_special_tokens = True
-            self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            # the bytes that have no printable character of their own follow 255, in order
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            hidden = [b for b in range(256) if b not in shown]
+            self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+            self.whole = Tokenizer(self.t.model)
+            self.whole.pre_tokenizer = pre_tokenizers.Split("\0", "removed")
             self.bytes = np.zeros(self.size, np.int64)
             for token, i in vocab.items():  # a byte-level token has one character for each byte
                 self.bytes[i] = len(token)
@@ -60,12 +63,28 @@ class LibraryEncoder:
             got += [np.array(e.ids, np.uint32) for e in self.t.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(g) for g in got], np.int64)
 
+    def parts(self, chunk: str) -> list[str] | tuple[str, ...]:
+        """What the pattern makes of a chunk; a word with signs behind it, the usual case, needs no pattern."""
+        core = chunk.rstrip(punctuation)
+        tail = (chunk[len(core) :],) if len(core) < len(chunk) else ()
+        if core[:1] == " ":
+            if core[1:].isalpha():
+                return (core, *tail)
+        elif core[:1] == "\n":
+            if core[1:].isalpha():
+                return ("\n", core[1:], *tail)
+        elif core.isalpha():
+            return (core, *tail)
+        return self.split.findall(chunk)
+
     def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for pieces that the pattern wouldn't split."""
-        calls = [pieces[i : i + JOIN] for i in range(0, len(pieces), JOIN)]
-        got = [np.array(e.ids, np.uint32) for i in range(0, len(calls), CALL) for e in self.whole.encode_batch_fast(calls[i : i + CALL], is_pretokenized=True, add_special_tokens=False)]
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        shown = [r.decode("latin-1").translate(self.letters) for r in raw]
+        calls = ["\0".join(shown[i : i + JOIN]) for i in range(0, len(shown), JOIN)]
+        got = [np.array(e.ids, np.uint32) for i in range(0, len(calls), CALL) for e in self.whole.encode_batch_fast(calls[i : i + CALL], add_special_tokens=False)]
         ids = np.concatenate([np.zeros(0, np.uint32), *got])
-        sizes = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes)) + 1
         if len(pieces) and (ends[-1] != len(ids) or self.bytes[ids].sum() != sizes.sum()):
             raise AssertionError("tokens don't add up to their pieces")
@@ -73,7 +92,7 @@ class LibraryEncoder:
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         near = np.fromiter((self.split is not None and len(c) < 1000 and (c.isascii() or max(c) < "\u0250") for c in chunks), bool, len(chunks))
-        found = [self.split.findall(chunks[i]) for i in np.flatnonzero(near)]
+        found = [self.parts(chunks[i]) for i in np.flatnonzero(near)]
         index = _Index()
         per = np.fromiter(map(len, found), np.int64, len(found))
         at = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, int(per.sum()))
@@ -89,11 +108,14 @@ class LibraryEncoder:
         return gather(all_ids, offsets(all_counts)[:-1][back], all_counts[back]), all_counts[back]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder a worker process and vocabulary."""
-    library = LibraryEncoder(path)
-    return ChunkEncoder(library, np.uint16 if library.size <= 65536 else np.uint32)
+    """One a worker process."""
+
+    def make() -> ChunkEncoder:
+        library = LibraryEncoder(path)
+        return ChunkEncoder(library, np.uint16 if library.size <= 65536 else np.uint32)
+
+    return held(("tokens", path), make)
 
 
 def encode_blocks(batch, path: str):
