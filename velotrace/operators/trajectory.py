@@ -6,30 +6,36 @@ count of boundaries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import hexgrid, projection
 from ..functions.scalars import bad_coord, congestion_level, haversine_m, heading_delta, likely_parked, out_of_day, plausible_ride, plausible_trip, route_id, speed_kmh
 
-BY_TIME = Window.partitionBy("taxi_id").orderBy("timestamp", "src_seq")
-SO_FAR = BY_TIME.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("taxi_id").orderBy("timestamp", "src_seq")
+
+
+def so_far_in_time() -> WindowSpec:
+    return by_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
 
 
 def _running(flag: Column) -> Column:
-    return F.sum(flag.cast("int")).over(SO_FAR)
+    return F.sum(flag.cast("int")).over(so_far_in_time())
 
 
 def first_per_second(df: DataFrame) -> DataFrame:
     """Of the rows of a vehicle and second, the one that came first."""
-    again = F.coalesce(F.lag("timestamp").over(BY_TIME) == F.col("timestamp"), F.lit(False))
+    again = F.coalesce(F.lag("timestamp").over(by_time()) == F.col("timestamp"), F.lit(False))
     return df.withColumn("_again", again).where("not _again").drop("_again")
 
 
 def lag_features(df: DataFrame, c: Settings = DEFAULT) -> DataFrame:
     """dt_sec, speed_gps_kmh, heading_delta_deg, trip_break and event_type."""
-    before = lambda x: F.lag(x).over(BY_TIME)
+    before = lambda x: F.lag(x).over(by_time())
     dt = F.col("timestamp") - before("timestamp")
     near = F.coalesce((dt > 0) & (dt <= c.max_gap_sec), F.lit(False))
     metres = haversine_m(before("latitude"), before("longitude"), F.col("latitude"), F.col("longitude"), c.earth_radius_m)
@@ -49,7 +55,7 @@ def lag_features(df: DataFrame, c: Settings = DEFAULT) -> DataFrame:
 def drift(df: DataFrame, c: Settings = DEFAULT) -> DataFrame:
     """is_outlier_drift, from the rows on either side, across breaks too."""
     lat, lon, ts = F.col("latitude"), F.col("longitude"), F.col("timestamp")
-    side = lambda f, x: f(x).over(BY_TIME)
+    side = lambda f, x: f(x).over(by_time())
     plat, plon, nlat, nlon = side(F.lag, "latitude"), side(F.lag, "longitude"), side(F.lead, "latitude"), side(F.lead, "longitude")
     d = df.withColumns(
         {
@@ -84,9 +90,9 @@ def features(df: DataFrame, c: Settings = DEFAULT, day_start: int = 1488297600)
 
 def segments(df: DataFrame, c: Settings = DEFAULT, into: str = "segment") -> DataFrame:
     """Numbers from 1; a new one at a vehicle's first row, a break, and time that stands still or leaps."""
-    dt = F.col("timestamp") - F.lag("timestamp").over(BY_TIME)
+    dt = F.col("timestamp") - F.lag("timestamp").over(by_time())
     edge = dt.isNull() | (F.coalesce("trip_break", F.lit(1)) == 1) | (dt <= 0) | (dt > c.max_gap_sec)
-    return df.withColumn("_edge", edge.cast("int")).withColumn(into, F.sum("_edge").over(SO_FAR)).drop("_edge")
+    return df.withColumn("_edge", edge.cast("int")).withColumn(into, F.sum("_edge").over(so_far_in_time())).drop("_edge")
 
 
 def break_segments(df: DataFrame, into: str = "segment") -> DataFrame:
@@ -97,10 +103,10 @@ def break_segments(df: DataFrame, into: str = "segment") -> DataFrame:
 def runs(df: DataFrame, flag: Column, within: str | None = None, into: str = "run") -> DataFrame:
     """Islands of rows whose flag holds, within a segment; a row where it doesn't hold is an island of its own."""
     d = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
-    edge = ~F.col("_flag") | ~F.coalesce(F.lag("_flag").over(BY_TIME), F.lit(False))
+    edge = ~F.col("_flag") | ~F.coalesce(F.lag("_flag").over(by_time()), F.lit(False))
     if within:
-        edge = edge | ~F.col(within).eqNullSafe(F.lag(within).over(BY_TIME))
-    return d.withColumn("_edge", edge.cast("int")).withColumn(into, F.sum("_edge").over(SO_FAR)).drop("_edge")
+        edge = edge | ~F.col(within).eqNullSafe(F.lag(within).over(by_time()))
+    return d.withColumn("_edge", edge.cast("int")).withColumn(into, F.sum("_edge").over(so_far_in_time())).drop("_edge")
 
 
 def drop_parking(df: DataFrame, speed: str, c: Settings = DEFAULT, variant: str = "canonical") -> DataFrame:
@@ -111,13 +117,13 @@ def drop_parking(df: DataFrame, speed: str, c: Settings = DEFAULT, variant: str
     within = "_seg" if variant == "canonical" else None
     d = segments(df, c, "_seg")
     d = runs(d, F.col(speed) == c.parking_speed_kmh, within, "_run")
-    after = F.lead("timestamp").over(BY_TIME)
-    same = F.lead("_seg").over(BY_TIME) == F.col("_seg") if within else after.isNotNull()
+    after = F.lead("timestamp").over(by_time())
+    same = F.lead("_seg").over(by_time()) == F.col("_seg") if within else after.isNotNull()
     d = d.withColumn("_until", F.when(F.coalesce(same, F.lit(False)), after).otherwise(F.col("timestamp")))
     w = Window.partitionBy("taxi_id", "_run")
     d = d.withColumn("_gone", F.col("_flag") & ((F.max("_until").over(w) - F.min("timestamp").over(w)) >= c.parking_min_sec))
     if variant == "canonical":
-        d = d.withColumn("trip_break", F.greatest("trip_break", F.coalesce(F.lag("_gone").over(BY_TIME), F.lit(True)).cast("int")))
+        d = d.withColumn("trip_break", F.greatest("trip_break", F.coalesce(F.lag("_gone").over(by_time()), F.lit(True)).cast("int")))
     return d.where(~F.col("_gone")).drop("_seg", "_run", "_flag", "_until", "_gone")
 
 
@@ -135,13 +141,13 @@ def label_congestion(df: DataFrame, speed: str, c: Settings = DEFAULT, variant:
 
 def events_again(df: DataFrame) -> DataFrame:
     """event_type after rows were deleted."""
-    was, now, joined = F.lag("occupied").over(BY_TIME), F.col("occupied"), F.col("trip_break") == 0
+    was, now, joined = F.lag("occupied").over(by_time()), F.col("occupied"), F.col("trip_break") == 0
     return df.withColumn("event_type", F.when(joined & (was == 0) & (now == 1), "pickup").when(joined & (was == 1) & (now == 0), "dropoff").otherwise(""))
 
 
 def drop_bad_coord(df: DataFrame) -> DataFrame:
     """without bad coordinates; the row after one begins a segment."""
-    lost = F.coalesce(F.lag("bad_coord").over(BY_TIME), F.lit(1))
+    lost = F.coalesce(F.lag("bad_coord").over(by_time()), F.lit(1))
     return df.withColumn("trip_break", F.greatest("trip_break", (lost != 0).cast("int"))).where("bad_coord = 0")
 
 
@@ -184,7 +190,7 @@ def rides(df: DataFrame, c: Settings = DEFAULT) -> DataFrame:
     only if its first row is a pickup.
     """
     off = (F.col("trip_break") == 1) | (F.col("bad_coord") == 1)
-    d = df.withColumn("_off", off.cast("int")).withColumn("_stretch", F.sum("_off").over(SO_FAR))
+    d = df.withColumn("_off", off.cast("int")).withColumn("_stretch", F.sum("_off").over(so_far_in_time()))
     d = d.withColumn("_group", F.max_by("group_id", F.struct("timestamp", "src_seq")).over(Window.partitionBy("taxi_id"))).where("_off = 0")
     w = Window.partitionBy("taxi_id", "_stretch").orderBy("timestamp", "src_seq")
     changed = F.coalesce(F.lag("occupied").over(w) != F.col("occupied"), F.lit(True))
@@ -270,8 +276,8 @@ def trip_points(df: DataFrame, numbered_: DataFrame) -> DataFrame:
 
 def source_gaps(df: DataFrame, keep: Column) -> DataFrame:
     """The rows that keep holds for; trip_break = 1 where rows before one went, and at a vehicle's first."""
-    d = df.withColumn("_i", F.row_number().over(BY_TIME)).where(keep)
-    gap = F.coalesce(F.col("_i") - F.lag("_i").over(BY_TIME) != 1, F.lit(True))
+    d = df.withColumn("_i", F.row_number().over(by_time())).where(keep)
+    gap = F.coalesce(F.col("_i") - F.lag("_i").over(by_time()) != 1, F.lit(True))
     return d.withColumn("trip_break", F.greatest(F.coalesce("trip_break", F.lit(1)), gap.cast("int"))).drop("_i")
 
 

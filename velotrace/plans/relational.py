@@ -173,7 +173,7 @@ def stable_order(spark, sf_dir):
     d = featured(spark, sf_dir).select("taxi_id", "timestamp", "src_seq")
     per = d.groupBy("taxi_id").agg(F.count(F.lit(1)).alias("c"))
     before = per.select("taxi_id", F.coalesce(F.sum("c").over(Window.orderBy("taxi_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(T.BY_TIME) + F.col("before")
+    place = F.row_number().over(T.by_time()) + F.col("before")
     return d.join(before, "taxi_id").select("taxi_id", "timestamp", "src_seq", place.cast("long").alias("place"))
 
 

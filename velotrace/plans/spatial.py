@@ -337,6 +337,6 @@ FROM whole JOIN t1 USING (src_seq) WHERE b IS NOT NULL GROUP BY ALL""",
 )
 def fishnet(spark, sf_dir):
     d = projected(spark, sf_dir)
-    before = lambda c: F.lag(c).over(T.BY_TIME)
+    before = lambda c: F.lag(c).over(T.by_time())
     d = d.select(F.floor(F.col("timestamp") / 3600).cast("long").alias("hour"), before("x").alias("x1"), before("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"), "trip_break").where("trip_break = 0")
     return grids.fishnet_lengths(d, 500.0, ["hour"]).withColumn("metres", F.round("metres", 3))
