@@ -1,0 +1,166 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from velotrace.llm import flac, langid, media, secrets, trigrams
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return langid.fit(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0"), "text", "lang", "doc_id")
+
+
+def test_held_out_accuracy(spark, model):
+    """Fitted on even ids, tested on odd ones by their texts alone."""
+    held = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 1")
+    got = langid.identify(held, model).agg(F.avg((F.col("language.lang") == F.col("lang")).cast("double")), F.avg(F.col("language.accepted").cast("double"))).first()
+    assert got[0] > 0.97 and got[1] == 1.0
+
+
+def test_evidence_of_pages(spark, model):
+    rows = [
+        ("", "http://a.de/x", '<html lang="de">'), ("", "http://b.fr/x", None), (None, "http://c.com/", '<html lang="fr-FR">'), ("the and of that with", "http://c.com/", '<html lang="fr">'), ("zzqx 0x93 #!~ " * 40, "http://a.de", None),
+    ]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, text string, url string, html string")
+    declared = F.regexp_extract("html", 'lang="([^"]+)"', 1)
+    got = {r.page_id: r.language for r in langid.identify(d, model, declared=declared, url=F.col("url")).collect()}
+    assert got[0].lang == "de" and not got[0].accepted and got[0].text_lang is None
+    assert got[1].lang == "fr" and got[2].lang == "fr"
+    assert not got[4].accepted
+
+
+def test_host_priors_are_smoothed_towards_wider_levels(spark, model):
+    text = {"de": "und der die das nicht", "en": "the and of that with"}
+    rows = [("x.a.com", "de")] * 60 + [("y.a.com", "en")] + [("z.b.org", "en")] * 30
+    d = spark.createDataFrame([(h, text[k]) for h, k in rows], "host string, text string")
+    table, wide = langid.priors(d, model, "text", F.col("host"))
+    p = {r.host: dict(zip(model.languages, r.prior)) for r in table.collect()}
+    assert all(abs(sum(x.values()) - 1) < 1e-9 for x in p.values())
+    assert p["x.a.com"]["de"] > 0.9
+    assert p["z.b.org"]["de"] < p["y.a.com"]["de"] < p["x.a.com"]["de"]  # one page says little against its domain
+    assert abs(sum(wide) - 1) < 1e-9
+
+
+def test_language_of_odd_rows(spark, docs, empty):
+    got = langid.documents(docs)
+    assert got.count() == docs.count() and set(docs.columns) < set(got.columns)
+    assert got.where("language.accepted and (text is null or trim(text) = '')").count() == 0
+    assert langid.documents(empty).count() == 0
+
+
+def samples():
+    rng = np.random.default_rng(1)
+    return [
+        rng.integers(0, 256, n).astype(np.uint8) for n in (1, 16, 64, 1000, 1024, 1025, 5000)
+    ] + [np.zeros(3000, np.uint8), np.array([128] * 2000 + [255] + [128] * 3000, np.uint8), np.cumsum(rng.integers(-2, 3, 4096)).astype(np.uint8), (127 + 100 * np.sin(np.arange(9000) / 9)).astype(np.uint8), np.array([0, 255] * 40, np.uint8)]
+
+
+@pytest.mark.parametrize("lpc", [0, 4, 8])
+@pytest.mark.parametrize("block", [256, 1024])
+def test_streams_come_back(lpc, block, monkeypatch):
+    monkeypatch.setattr(flac, "AT_A_TIME", 4096)
+    monkeypatch.setattr(flac, "FRAMES", 3)
+    xs = samples()
+    streams = flac.encode(np.concatenate(xs), np.array([len(x) for x in xs]), block, lpc)
+    for x, y in zip(xs, flac.decode(streams)):
+        assert (y + 128 == x).all()
+    alone = [flac.encode(x, np.array([len(x)]), block, lpc)[0] for x in xs]
+    assert alone == streams  # a stream doesn't depend on its neighbours
+
+
+def bare(stream):
+    """The same stream without its seek table."""
+    return stream[:4] + bytes([0x80]) + stream[5:42] + stream[flac.info(stream).frames_at :]
+
+
+def test_streams_without_a_seek_table_and_seeking():
+    xs = samples()
+    streams = flac.encode(np.concatenate(xs), np.array([len(x) for x in xs]))
+    for x, y in zip(xs, flac.decode([bare(s) for s in streams])):
+        assert (y + 128 == x).all()
+    for a, n in ((0, 1), (1000, 100), (1023, 2), (4000, 9999), (8999, 1), (9000, 5)):
+        assert (flac.read_samples(streams[10], a, n) + 128 == xs[10][a : a + n]).all()
+
+
+def test_damage_is_found():
+    x = samples()[6]
+    stream = flac.encode(x, np.array([len(x)]))[0]
+    start = flac.info(stream).frames_at
+    rng = random.Random(2)
+    for s in (stream, bare(stream)):
+        for _ in range(25):
+            at = rng.randrange(flac.info(s).frames_at, len(s))
+            bad = bytearray(s)
+            bad[at] ^= 1 << rng.randrange(8)
+            assert flac.decode([bytes(bad)])[0] is None
+        for cut in (0, 3, 20, start - 3, len(s) - 700, len(s) - 1):
+            assert flac.decode([s[:cut]])[0] is None
+    assert flac.decode([b"RIFFxxxx", stream])[1] is not None
+
+
+def test_media_of_odd_rows(spark, docs, empty, odd_texts):
+    by_id = {1000 - 7 * i: (t or "").encode() for i, t in enumerate(odd_texts)}
+    got = media.round_trip(docs).collect()
+    stored = {r.doc_id: bytes(r.media) for r in media.store(docs).collect()}
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is not None:
+            body = by_id[r.doc_id]
+            full = body + bytes(-len(body) % 64 or (0 if body else 64))
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(body), len(full), hashlib.sha256(full).hexdigest())
+            assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+    blocks = media.pcm_blocks(media.store(docs).where("doc_id = 902"), samples=1000).orderBy("block").collect()
+    assert [b.first_sample for b in blocks] == [1000 * i for i in range(len(blocks))]
+    assert (np.frombuffer(b"".join(b.pcm for b in blocks), np.int8).astype(int) + 128).astype(np.uint8).tobytes()[: len(by_id[902])] == by_id[902]
+    broken = media.pcm_blocks(spark.createDataFrame([(1, None), (2, b"abc")], "doc_id long, media binary")).collect()
+    assert all(r.error and r.n_samples == 0 for r in broken)
+    assert media.round_trip(empty).count() == 0
+
+
+@pytest.mark.parametrize("pattern", [r.pattern for r in secrets.RULES] + [r"(foo|bar)?quux[0-9]", r"a{3}b|cde+f", r"x*abc"])
+def test_queries_hold_for_every_match(pattern):
+    """Every string that matches has the trigrams of some conjunction."""
+    q = trigrams.query(pattern)
+    rng = random.Random(0)
+    pieces = ["password", "passwd", "SECRET", "token", "api_key", "ApiKey", "=", ": ", "'", '"', "AKIA", "ABCDEFGH12345678", "deadbeefdeadbeef", "-----BEGIN ", "RSA PRIVATE KEY-----", "eyJabcdefghij", ".", "ghp_", "a" * 36, "foo", "bar", "quux", "7", "aaab", "cdeef", "xxabc"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 6)))
+        if q is not None and re.search(pattern, text):
+            low = text.lower()
+            assert any(all(t in low for t in c) for c in q)
+
+
+def plain_spans(text, rules=secrets.RULES):
+    out = []
+    for place, r in enumerate(rules):
+        out += [(m.start(), place, f"{r.kind}:{m.start()}:{m.end()}") for m in re.finditer(r.pattern, text or "") if len(m.group(r.group)) >= r.shortest]
+    return [(p, s) for _, p, s in sorted(out)]
+
+
+def test_secrets_against_a_loop(spark, docs, empty, odd_texts):
+    by_id = {1000 - 7 * i: t for i, t in enumerate(odd_texts)}
+    got = secrets.report(docs).collect()
+    assert len(got) == docs.count()
+    hits = 0
+    for r in got:
+        if r.doc_id is not None:
+            want = plain_spans(by_id[r.doc_id])
+            hits += len(want)
+            assert r.spans == ",".join(s for _, s in want)
+            assert r.base_sha256 == hashlib.sha256(",".join(s for p, s in want if p < 3).encode()).hexdigest()
+            assert r.n_hex == sum(p == 2 for p, _ in want)
+    assert hits >= 8
+    assert secrets.report(empty).count() == 0
+
+
+def test_redaction(spark, docs):
+    for r in secrets.redact(docs.select("doc_id", "text")).collect():
+        assert r.text is None or not plain_spans(r.text)
+    rows = secrets.redact(spark.createDataFrame([(1, "é token=abcdefabcdefabcdef tail"), (1, None), (2, "0123456789abcdef")], "doc_id long, text string")).collect()
+    assert sorted(str(r.text) for r in rows) == ["None", "[SECRET]", "é [SECRET] tail"]
