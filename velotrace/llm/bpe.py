@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, _Index, blocks, texts_of
+from .chunks import ChunkEncoder, _Index, text_blocks
 from .common import gather, held, offsets, ship
 from .tokens import default_vocabulary
 
@@ -237,9 +237,9 @@ def encoder(path: str, pattern: str) -> tuple[Bpe, ChunkEncoder]:
 
 
 def _encoded(batch: pa.RecordBatch, chunked: ChunkEncoder):
-    for at, texts in texts_of(batch):
-        for a, b in blocks(texts):
-            yield at + a, at + b, *chunked.encode_all(texts[a:b])
+    texts = batch.column(1)
+    for a, b in text_blocks(texts):
+        yield a, b, *chunked.encode_all(texts.slice(a, b - a))
 
 
 def _texts(df: DataFrame) -> DataFrame:

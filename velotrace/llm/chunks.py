@@ -9,16 +9,18 @@ together; texts with other runs are taken whole; each distinct chunk is encoded
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import gather, offsets
 
 #: Distinct chunks, and their characters, that a worker keeps between batches; a bound on memory, without effect on results.
 KEEP, KEEP_CHARS = 300_000, 6_000_000
-#: Characters of text that are encoded at a time.
-BLOCK = 1_000_000
+#: Bytes of text that are encoded at a time.
+BLOCK = 4_000_000
 
 
 class _Index(dict):
@@ -34,10 +36,12 @@ class _Index(dict):
         return n
 
 
-def _cut(text: str) -> list[str]:
-    if "\n" not in text:
-        return text.replace(" ", "\0 ").split("\0")
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").replace("\n\0\n", "\n\n").replace(" \0\n", " \n").split("\0")
+def _cut(texts: pa.Array) -> pa.ListArray:
+    out = pc.replace_substring(texts, " ", "\0 ")
+    if pc.any(pc.match_substring(texts, "\n")).as_py():
+        for old, new in (("\n", "\0\n"), ("\n\0\n", "\n\n"), (" \0\n", " \n")):
+            out = pc.replace_substring(out, old, new)
+    return pc.split_pattern(out, "\0")
 
 
 class ChunkEncoder:
@@ -79,15 +83,25 @@ class ChunkEncoder:
         self.opens = np.concatenate([self.opens, np.fromiter((x[0:1] == "\n" or x[0:1] == " " and (len(x) == 1 or x[1].isspace()) for x in new), bool, len(new))])
         self.closes = np.concatenate([self.closes, np.fromiter((x[-1:].isspace() for x in new), bool, len(new))])
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after another, and how many each text has."""
+    def encode_all(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and how many each text has; null counts as empty."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
         if len(self.known) > self.keep or self.chars > self.keep_chars:
             self.shrink()
-        cut = [_cut(t) if "\0" not in t else [""] for t in texts]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = offsets(sizes)
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, at[-1])
-        del cut
+        nul = np.flatnonzero(pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False))
+        if len(nul):
+            texts = pc.if_else(pc.match_substring(texts, "\0"), "", whole_texts := texts)
+        else:
+            whole_texts = texts
+        cut = _cut(texts)
+        at = cut.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        distinct = cut.flatten().dictionary_encode()
+        words = np.fromiter(map(self.known.__getitem__, distinct.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(distinct.dictionary))
+        index = words[distinct.indices.to_numpy()]
+        del cut, distinct
         if self.known.new:
             self._learn()
         self.used = np.pad(self.used, (0, len(self.known) - len(self.used))) + np.bincount(index, minlength=len(self.known))
@@ -97,21 +111,25 @@ class ChunkEncoder:
         # a space between white space, or behind white space at the end: the text is encoded whole
         odd = self.closes[index[:-1]] & self.opens[index[1:]]
         odd[at[1:-1] - 1] = False
-        whole = set(np.searchsorted(at, np.flatnonzero(odd), "right") - 1) | {i for i, t in enumerate(texts) if "\0" in t}
+        whole = set((np.searchsorted(at, np.flatnonzero(odd), "right") - 1).tolist()) | set(nul.tolist())
         if whole:
             again = sorted(whole)
             pieces = np.split(flat, offsets(counts)[1:-1])
-            ids, n = self.encode([texts[i] for i in again])
+            ids, n = self.encode(whole_texts.take(pa.array(again)).to_pylist())
             for i, g, k in zip(again, np.split(ids.astype(self.dtype), offsets(n)[1:-1]), n):
                 pieces[i], counts[i] = g, k
             flat = np.concatenate(pieces)
         return flat, counts
 
 
-def texts_of(batch, column: int = 1, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
-    """A batch's texts as Python strings, few rows at a time: first row and texts; null counts as empty."""
-    for at in range(0, batch.num_rows, rows):
-        yield at, [t or "" for t in batch.column(column).slice(at, rows).to_pylist()]
+def text_blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about most bytes each, one text at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        end = int(np.searchsorted(size, (size[begin - 1] if begin else 0) + most, "right"))
+        yield begin, max(end, begin + 1)
+        begin = max(end, begin + 1)
 
 
 def blocks(texts: list[str], most: int = BLOCK) -> Iterator[tuple[int, int]]:

@@ -277,6 +277,8 @@ def info(data: bytes) -> Info:
             raise FlacError("the metadata is cut off")
         last, kind, size = bool(data[at] & 0x80), data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
         part = data[at + 4 : at + 4 + size]
+        if len(part) < size:
+            raise FlacError("the metadata is cut off")
         if kind == 0 and size >= 34:
             packed = int.from_bytes(part[10:18], "big")
             found = (int.from_bytes(part[2:4], "big"), packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, part[18:34])

@@ -9,7 +9,7 @@ from string import punctuation
 
 import numpy as np
 
-from .chunks import ChunkEncoder, _Index, blocks, texts_of
+from .chunks import ChunkEncoder, _Index, text_blocks
 from .common import gather, held, offsets
 
 #: Pieces that are one text for the library, and texts for one call of it.
@@ -51,7 +51,9 @@ class LibraryEncoder:
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             hidden = [b for b in range(256) if b not in shown]
             self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-            self.whole = Tokenizer(self.t.model)
+            self.whole = Tokenizer(self.t.model)  # pieces come once, so its own cache of them would only cost
+            if hasattr(self.whole.model, "_resize_cache"):
+                self.whole.model._resize_cache(0)
             self.whole.pre_tokenizer = pre_tokenizers.Split("\0", "removed")
             self.bytes = np.zeros(self.size, np.int64)
             for token, i in vocab.items():  # a byte-level token has one character for each byte
@@ -120,7 +122,6 @@ def encoder(path: str) -> ChunkEncoder:
 
 def encode_blocks(batch, path: str):
     """Yields (begin, end, flat ids, counts) for runs of a batch's rows, whose texts are its second column."""
-    e = encoder(path)
-    for at, texts in texts_of(batch):
-        for a, b in blocks(texts):
-            yield at + a, at + b, *e.encode_all(texts[a:b])
+    e, texts = encoder(path), batch.column(1)
+    for a, b in text_blocks(texts):
+        yield a, b, *e.encode_all(texts.slice(a, b - a))
