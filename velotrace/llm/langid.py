@@ -32,7 +32,7 @@ EVIDENCE = 40.0
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.85, 0.75
 #: Weight of the wider level in a host's prior, in documents.
 SMOOTH = 20.0
-MIN_POSTERIOR, MARGIN, ENOUGH = 0.5, 0.75, 50
+MIN_POSTERIOR, MARGIN, ENOUGH = 0.5, 2.5, 50
 #: Log-likelihoods are whole multiples of 1 / UNIT, so that sums don't depend on their order.
 UNIT = 4096
 #: Hosts whose priors are broadcast; with more, they are joined by a shuffle.
