@@ -83,6 +83,7 @@ def gapless_rank(df: DataFrame, groups: list[str], bucket: Column, order: list[C
     count = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = count.select(*keys, F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
+    base = base.repartition(*keys)  # else the rows would be dealt by the groups alone, as the window above is
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return d.join(base, keys).withColumn(into, F.col("_base") + rank - 1).drop("_bucket", "_base")
 
