@@ -92,7 +92,14 @@ def road_class(spark, sf_dir):
     return d.select("src_seq", F.col("fclass").alias("road_type"), F.round("distance", 4).alias("road_distance_m"), status.alias("road_match_status"), peak_label(F.col("timestamp")).alias("time_period"))
 
 
-@query("A8_match_counts", None)
+@query(
+    "A8_match_counts",
+    f"""{XY}, {LATTICE},
+pair AS (SELECT src_seq, fclass, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t, x, y, x1, y1, x2, y2 FROM xy, street),
+dist AS (SELECT *, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) AS d FROM pair),
+best AS (SELECT src_seq, arg_min(fclass, d) AS fclass FROM dist WHERE d <= 30 GROUP BY src_seq)
+SELECT CASE WHEN fclass IS NULL THEN 'unmatched' ELSE 'matched' END AS road_match_status, fclass AS road_type, count(*) AS n FROM xy LEFT JOIN best USING (src_seq) GROUP BY ALL""",
+)
 def match_counts(spark, sf_dir):
     return road_class(spark, sf_dir).groupBy("road_match_status", "road_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -137,3 +144,28 @@ def detours(spark, sf_dir):
 @query("A10_detour_summary", None)
 def detour_summary(spark, sf_dir):
     return R.detour_summary(detoured(spark, sf_dir)).withColumn("excluded", F.to_json("excluded"))
+
+
+@query("F11_drivable", f"WITH {LATTICE} SELECT osm_id, oneway FROM street")
+def drivable(spark, sf_dir):
+    return N.drivable(lattice(spark)).select("osm_id", "oneway")
+
+
+@query(
+    "J9_snapped",
+    f"""{XY}, {LATTICE},
+pair AS (SELECT src_seq, road_idx, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t, x, y, x1, y1, x2, y2 FROM xy, street WHERE src_seq % 10 = 0),
+dist AS (SELECT src_seq, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) AS d FROM pair)
+SELECT src_seq, round(min(d), 4) AS snap_m FROM dist WHERE d <= 500 GROUP BY src_seq""",
+)
+def snapped(spark, sf_dir):
+    d = projected(spark, sf_dir).where("src_seq % 10 = 0").select("src_seq", "x", "y")
+    return R.nearest_segment(d, segments(spark), 500.0, "src_seq", []).where("road_idx is not null").select("src_seq", F.round("distance", 4).alias("snap_m"))
+
+
+@query("G8_same_segment", None)
+def same_segment(spark, sf_dir):
+    """Trips whose ends lie on one segment."""
+    t = T.trips(numbered(spark, sf_dir)).select("route_id", "start_lon", "start_lat", "end_lon", "end_lat")
+    t = projection.with_utm(projection.with_utm(t, "start_lon", "start_lat", "sx", "sy"), "end_lon", "end_lat", "ex", "ey")
+    return N.snapped(t, segments(spark)).where("s_snap.road_idx = e_snap.road_idx").select("route_id", "s_snap.road_idx", F.round("s_snap.position", 4).alias("from_m"), F.round("e_snap.position", 4).alias("to_m"))

@@ -340,3 +340,56 @@ def fishnet(spark, sf_dir):
     before = lambda c: F.lag(c).over(T.by_time())
     d = d.select(F.floor(F.col("timestamp") / 3600).cast("long").alias("hour"), before("x").alias("x1"), before("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"), "trip_break").where("trip_break = 0")
     return grids.fishnet_lengths(d, 500.0, ["hour"]).withColumn("metres", F.round("metres", 3))
+
+
+BOX = [(116.395, 39.895), (116.405, 39.895), (116.405, 39.905), (116.395, 39.905)]
+EVENT_XY = "SELECT event_id AS src_seq, 116.40 + ((event_id * 7919) % 2001 - 1000) * CAST(1e-5 AS DOUBLE) AS x, 39.90 + ((event_id * 104729) % 2001 - 1000) * CAST(1e-5 AS DOUBLE) AS y FROM events"
+
+
+@query("F3_inside_boundary", f"SELECT src_seq FROM ({EVENT_XY}) WHERE x > 116.395 AND x < 116.405 AND y > 39.895 AND y < 39.905")
+def inside_boundary(spark, sf_dir):
+    return pings(spark, sf_dir).where(geometry.in_ring(F.col("longitude"), F.col("latitude"), ring(BOX))).select("src_seq")
+
+
+@query("SP2_union_of_rings", f"SELECT src_seq FROM ({EVENT_XY}) WHERE (x > 116.395 AND x < 116.405 AND y > 39.895 AND y < 39.905) OR (x > 116.391 AND x < 116.4 AND y > 39.891 AND y < 39.909)")
+def union_of_rings(spark, sf_dir):
+    x, y = F.col("longitude"), F.col("latitude")
+    inside = geometry.in_ring(x, y, ring(BOX)) | geometry.in_ring(x, y, ring(AREAS["west"]))
+    return pings(spark, sf_dir).where(inside).select("src_seq")
+
+
+@query(
+    "J13_hex_neighbours",
+    f"{CTE}, {HEXED}, c AS (SELECT q, r, count(*) AS n FROM hexed GROUP BY ALL), s(a, b) AS (VALUES (1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1)) "
+    "SELECT c.q, c.r, CAST(sum(o.n) AS BIGINT) AS around FROM c, s JOIN c o ON o.q = c.q + a AND o.r = c.r + b GROUP BY ALL",
+)
+def hex_neighbours(spark, sf_dir):
+    c = T.with_hexagon(featured(spark, sf_dir), DEFAULT.hex_size_m).groupBy("q", "r").agg(F.count(F.lit(1)).alias("n"))
+    near = c.select("n", F.explode(hexgrid.neighbours(F.col("q"), F.col("r"))).alias("c")).groupBy(F.col("c.q").alias("q"), F.col("c.r").alias("r")).agg(F.sum("n").alias("around"))
+    return near.join(c, ["q", "r"], "left_semi")
+
+
+@query("O7_hot_cells", f"{HOT} SELECT label, row, col FROM hot WHERE hot = 1")
+def hot_cells(spark, sf_dir):
+    return hot(spark, sf_dir).where("hot = 1").select("label", "row", "col")
+
+
+@query(
+    "J15_band_stack",
+    f"""{XY}, a AS (SELECT {CELL}, count(*) AS n FROM xy WHERE {INSIDE} AND occupied = 1 GROUP BY ALL), b AS (SELECT {CELL}, count(*) AS n FROM xy WHERE {INSIDE} AND occupied = 0 GROUP BY ALL)
+SELECT 1 AS band_idx, 'occupied' AS label, row, col, CAST(n AS DOUBLE) AS value FROM a UNION ALL SELECT 2, 'empty', row, col, CAST(n AS DOUBLE) FROM b""",
+)
+def band_stack(spark, sf_dir):
+    d = projected(spark, sf_dir)
+    return grids.stack({"occupied": grids.histogram(d.where("occupied = 1"), GRID), "empty": grids.histogram(d.where("occupied = 0"), GRID)})
+
+
+@query(
+    "SP29_zero_filled_cube",
+    f"""{XY}, c AS (SELECT row, col, hour, CAST(count(*) AS DOUBLE) AS value FROM (SELECT {CELL}, CAST((timestamp + 28800) % 86400 // 3600 AS BIGINT) AS hour FROM xy WHERE {INSIDE}) GROUP BY ALL),
+e AS (SELECT row, col, unnest(range(6, 13)) AS hour FROM (SELECT DISTINCT row, col FROM c))
+SELECT row, col, hour, coalesce(value, 0) AS value FROM e LEFT JOIN c USING (row, col, hour)""",
+)
+def zero_filled_cube(spark, sf_dir):
+    d = projected(spark, sf_dir).withColumn("hour", F.floor(F.pmod(F.col("timestamp") + 28800, F.lit(86400)) / 3600).cast("long"))
+    return grids.zero_filled(grids.histogram(d, GRID, None, ["hour"]), ["row", "col"], "hour", "value", 6, 12, 1)
