@@ -85,7 +85,7 @@ WORDS = "CASE event_id % 6 WHEN 0 THEN ' True ' WHEN 1 THEN 'no' WHEN 2 THEN 'Y'
 
 @query(
     "X_scalars",
-    f"""SELECT event_id, round(abs(((event_id % 360 - event_id * 7 % 360 + 180.0) % 360 + 360) % 360 - 180), 6) AS turn, CASE WHEN value > 30 THEN '畅通' WHEN value > 20 THEN '轻度拥挤' WHEN value > 10 THEN '拥挤' ELSE '严重拥挤' END AS level,
+    f"""SELECT event_id, CAST(abs(((event_id % 360 - event_id * 7 % 360 + 180.0) % 360 + 360) % 360 - 180) AS DOUBLE) AS turn, CASE WHEN value > 30 THEN '畅通' WHEN value > 20 THEN '轻度拥挤' WHEN value > 10 THEN '拥挤' ELSE '严重拥挤' END AS level,
   coalesce(lower(trim({WORDS})) IN ('true', '1', 'yes', 'y', 't'), false) AS yes, CASE event_id % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'F' WHEN 2 THEN 'T' ELSE 'B' END AS way,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS number, CAST(value > 20 AS INTEGER) AS parked, '20170301_' || event_id AS route_id, CAST(event_id % 100 AS VARCHAR) || ':' || CAST(event_id % 7 * 1000 AS VARCHAR) AS node
 FROM events""",

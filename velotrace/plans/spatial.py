@@ -190,7 +190,7 @@ def raster_components(spark, sf_dir):
 @query(
     "A7_regions",
     f"""{COMPONENTS}
-SELECT row_number() OVER (ORDER BY avg(mean_norm) DESC, count(*) DESC, label) AS rank, count(*) AS n_cells, round(count(*) * {GRID.cell**2 / 1e6!r}, 6) AS area_km2, round(avg(persistence), 6) AS mean_persistence,
+SELECT row_number() OVER (ORDER BY avg(mean_norm) DESC, count(*) DESC, label) AS rank, count(*) AS n_cells, CAST(round(count(*) * {GRID.cell**2 / 1e6!r}, 6) AS DOUBLE) AS area_km2, round(avg(persistence), 6) AS mean_persistence,
   round(avg(mean_norm), 6) AS mean_density_norm, round(avg({GRID.xmin} + (col + 0.5) * {GRID.cell}), 3) AS center_x, round(avg({GRID.ymax} - (row + 0.5) * {GRID.cell}), 3) AS center_y
 FROM labels GROUP BY label HAVING count(*) >= 3""",
 )

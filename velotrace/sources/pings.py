@@ -93,6 +93,6 @@ FROM_EVENTS_SQL = """
     CAST(1488319200 + (epoch_us(ts) // 1000000 - 1704067200) // 120 AS BIGINT) AS timestamp, CAST(value AS DOUBLE) AS speed,
     39.90 + ((event_id * 104729) % 2001 - 1000) * CAST(1e-5 AS DOUBLE) AS latitude, 116.40 + ((event_id * 7919) % 2001 - 1000) * CAST(1e-5 AS DOUBLE) AS longitude,
     CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS INTEGER) * CAST(3.6 AS DOUBLE) AS direction, 1 AS positioning_valid,
-    CAST(event_type IN ('click', 'purchase') AS INTEGER) AS occupied, event_id AS src_seq, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day
+    CAST(event_type IN ('click', 'purchase') AS INTEGER) AS occupied, event_id AS src_seq, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day
   FROM events
 """
