@@ -18,9 +18,11 @@ import pyarrow.compute as pc
 from .common import gather, offsets
 
 #: Distinct chunks, and their characters, that a worker keeps between batches; a bound on memory, without effect on results.
-KEEP, KEEP_CHARS = 300_000, 6_000_000
+KEEP, KEEP_CHARS = 250_000, 5_000_000
 #: Bytes of text that are encoded at a time.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
+#: New chunks that are encoded at a time.
+LEARN = 40_000
 
 
 class _Index(dict):
@@ -75,7 +77,8 @@ class ChunkEncoder:
 
     def _learn(self) -> None:
         new, self.known.new = self.known.new, []
-        ids, sizes = self.encode(new)
+        got = [self.encode(new[i : i + LEARN]) for i in range(0, len(new), LEARN)]
+        ids, sizes = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         self.chars += sum(map(len, new))
         self.ids = np.concatenate([self.ids, ids.astype(self.dtype)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
