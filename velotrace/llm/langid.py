@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import blocks
-from .common import offsets, ship, written
+from .common import held, offsets, ship, written
 from .url_filters import host_and_path
 
 BITS = 16
@@ -50,6 +50,7 @@ class Model:
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte trigrams of the lower-cased texts, a space at either end; where each text's begin."""
+    held("language", dict)  # another operator's tables go
     raw = [f" {t.lower()} ".encode("utf-8", "surrogatepass") for t in texts]
     b = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     at = offsets(np.fromiter(map(len, raw), np.int64, len(raw)))
