@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, md5_bucket, offsets, ship, written
+from .common import gapless_rank, give_back, md5_bucket, offsets, ship, written
 from .tokens import default_vocabulary, encode_blocks
 
 CAPACITY, END_ID = 1024, 2
@@ -61,6 +61,7 @@ def pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
