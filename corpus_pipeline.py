@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from velotrace.llm import jaccard, langid, packing, secrets
 from velotrace.llm.common import written
 
+#: The near-duplicate stage's shingles and threshold, wider than the defaults of op4's query.
+WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language was recognised."""
@@ -20,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id; of rows that share an id, one."""
-    found = written(jaccard.near_duplicates(docs), "components")
+    found = written(jaccard.near_duplicates(docs, WORDS, NUMERATOR, DENOMINATOR), "components")
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

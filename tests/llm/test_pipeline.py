@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -40,3 +42,28 @@ def test_each_operator_has_its_query():
     names = list(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_near_duplicates_of_five_words_and_four_fifths(spark):
+    base = [f"w{i}" for i in range(100)]
+    changed = [*base[:30], "x", *base[31:70], "y", *base[71:]]  # 3 words: 92 of 104 shingles; 5 words: 86 of 106
+    texts = {1: base, 2: base + [f"a{i}" for i in range(20)], 3: changed, 4: base + [f"b{i}" for i in range(30)]}
+    d = spark.createDataFrame([(i, " ".join(w), "en", "src0", 0) for i, w in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.ngram_jaccard(spark, d, SF)
+    assert {r.doc_id for r in got.collect()} == {1, 4}
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = [x for x in re.split("[ \t\n\v\f\r]+", r.text.lower()) if x]
+        sets[r.doc_id] = set(zip(*[w[j:] for j in range(5)])) if len(w) > 4 else {tuple(w)}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {x: a if y == b else y for x, y in root.items()}
+    got = {r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, docs, SF).select("doc_id").collect()}
+    assert got == {i for i, r in root.items() if i == r}
