@@ -159,7 +159,19 @@ dist AS (SELECT src_seq, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t
 SELECT src_seq, round(min(d), 4) AS snap_m FROM dist WHERE d <= 500 GROUP BY src_seq""",
 )
 def snapped(spark, sf_dir):
-    d = projected(spark, sf_dir).where("src_seq % 10 = 0").select("src_seq", "x", "y")
+    """Every tenth of J9_snapped_all, which is what the SQL pairs with streets."""
+    return snapped_all(spark, sf_dir).where("src_seq % 10 = 0")
+
+
+@query(
+    "J9_snapped_all",
+    f"""{XY}, {LATTICE},
+pair AS (SELECT src_seq, road_idx, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t, x, y, x1, y1, x2, y2 FROM xy, street),
+dist AS (SELECT src_seq, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) AS d FROM pair)
+SELECT src_seq, round(min(d), 4) AS snap_m FROM dist WHERE d <= 500 GROUP BY src_seq""",
+)
+def snapped_all(spark, sf_dir):
+    d = projected(spark, sf_dir).select("src_seq", "x", "y")
     return R.nearest_segment(d, segments(spark), 500.0, "src_seq", []).where("road_idx is not null").select("src_seq", F.round("distance", 4).alias("snap_m"))
 
 
