@@ -164,3 +164,16 @@ def test_redaction(spark, docs):
         assert r.text is None or not plain_spans(r.text)
     rows = secrets.redact(spark.createDataFrame([(1, "é token=abcdefabcdefabcdef tail"), (1, None), (2, "0123456789abcdef")], "doc_id long, text string")).collect()
     assert sorted(str(r.text) for r in rows) == ["None", "[SECRET]", "é [SECRET] tail"]
+
+
+def test_whole_pages_are_judged(spark):
+    page = '<html lang="%s"><style>p{}</style><script>var t="</p>";</script><!-- x --><body><p>%s</p></body></html>'
+    rows = [("http://a.de/x", "<p></p>"), ("http://b.com/x", page % ("fr-FR", "")), ("http://a.fr/x", page % ("", "")), ("http://c.com/", page % ("en", "a &amp; b")), (None, None)]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.pages(d, spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert len(got) == 5 and [got[i].language.lang for i in range(3)] == ["de", "fr", "fr"]
+    assert got[0].language.posterior > 0.5 and not got[0].language.accepted  # no text
+    assert got[3].text.split() == ["a", "&", "b"]
+    real = spark.read.parquet(f"{SF}/pages.parquet")
+    judged = langid.pages(real, spark.read.parquet(f"{SF}/documents.parquet"))
+    assert judged.count() == real.count() and judged.where("language.text_lang is null").count() == 0

@@ -12,7 +12,9 @@ that of any labelled row of the sample by a margin, as noise is.
 
 from __future__ import annotations
 
+import html
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +42,9 @@ BROADCAST_HOSTS = 50_000
 #: Languages of country suffixes. Fixed values.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "ie": "en", "it": "it", "pt": "pt", "nl": "nl"}
 
+#: Markup, and what it holds that isn't text.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.DOTALL | re.IGNORECASE)
+
 
 @dataclass
 class Model:
@@ -205,3 +210,17 @@ def identify(df: DataFrame, model: Model, text: str = "text", declared: Column |
 def documents(docs: DataFrame) -> DataFrame:
     """identify() for documents: lang is both the label to fit on and what a document declares, source is its host."""
     return identify(docs, fit(docs, "text", "lang", "doc_id"), declared=F.col("lang"), host=F.col("source"))
+
+
+def pages(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """identify() for pages (page_id, url, html), fitted on documents: the html tag's lang is what a page declares, its url
+    gives suffix and host."""
+
+    @F.arrow_udf("string")
+    def text(found: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else html.unescape(MARKUP.sub(" ", p)) for p in found.to_pylist()], pa.string())
+
+    ship(df.sparkSession)
+    declared = F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", 1)
+    d = df.select("page_id", "url", "html", text(F.col("html")).alias("text"))
+    return identify(d, fit(docs, "text", "lang", "doc_id"), declared=declared, url=F.col("url"))

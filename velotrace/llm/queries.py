@@ -36,6 +36,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.documents(table(spark, sf_dir, "documents")).select("doc_id", "language.*")
 
 
+def op5_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")).select("page_id", "language.*")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES |= {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_language_id": op5_language_id,
+    "op5_page_languages": op5_page_languages,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_output": op7_token_output,
     "op8_best_fit_packing": op8_best_fit_packing,
