@@ -64,9 +64,9 @@ def plain_components(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def check(spark, texts):
+def check(spark, texts, **costs):
     d = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, n string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(d).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(d, **costs).collect()}
     assert got == plain_components(texts)
 
 
@@ -74,12 +74,17 @@ def test_odd_texts(spark, odd_texts):
     check(spark, {1000 - 7 * i: t for i, t in enumerate(odd_texts)})
 
 
-@pytest.mark.parametrize("docs,elements,lengthen", [(800, 1_000_000, 4), (12, 3000, 4), (12, 3000, 10**9)])
-def test_near_copies_and_passages(spark, monkeypatch, docs, elements, lengthen):
-    """Chains of copies, a passage in most documents, and blocks that cut groups."""
+@pytest.mark.parametrize(
+    "docs,elements,scan,few,costs", [(800, 1_000_000, 100_000, 500_000, {}), (12, 3000, 50, 500_000, {"matches": 3, "calls": 2}), (12, 3000, 50, 0, {"matches": 16, "calls": 4}), (800, 1_000_000, 10, 0, {"matches": 1, "calls": 1})]
+)
+def test_near_copies_and_passages(spark, monkeypatch, docs, elements, scan, few, costs):
+    """Chains of copies, a passage in most documents, and blocks that cut groups; elements costly and cheap, few and many."""
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", docs)
     monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", elements)
-    monkeypatch.setattr(jaccard, "LENGTHEN", lengthen)
+    monkeypatch.setattr(jaccard, "SCAN", scan)
+    monkeypatch.setattr(jaccard, "PART", scan * 20)
+    for name in ("HELD_TOKENS", "BROADCAST_IDS"):
+        monkeypatch.setattr(jaccard, name, few)
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(2000)]
     passage = " ".join(rng.choice(vocabulary) for _ in range(80))
@@ -95,7 +100,7 @@ def test_near_copies_and_passages(spark, monkeypatch, docs, elements, lengthen):
         texts[n] = " ".join(rng.choice(vocabulary) for _ in range(20)) + " " + passage
         texts[n + 1] = texts[n].upper()
         n += 2
-    check(spark, texts)
+    check(spark, texts, **costs)
 
 
 def test_rows_without_an_id_and_repeated_ids(spark, empty):
@@ -105,6 +110,14 @@ def test_rows_without_an_id_and_repeated_ids(spark, empty):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == sorted([(5, 2, 3), (5, 2, 3), (-1, 2, None), (7, 2, 3), (3, 1, 3), (5, 1, 3), (9, 0, 9)])
 
 
+def test_texts_of_one_id_link_by_either(spark):
+    """Two texts of one size under one id, each with a near copy under another."""
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(5, a), (5, b), (9, [*b, "more"]), (11, [*a, "more"]), (5, a), (20, ["c", *b])]
+    got = jaccard.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(5, 58, 5)] * 3 + [(9, 59, 5), (11, 59, 5), (20, 59, 5)]
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7)]

@@ -8,6 +8,7 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,6 +61,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/velotrace/{name}-{uuid.uuid4().hex}"
@@ -73,7 +82,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: its lineage ends there and a lost executor costs no rerun."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _at[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_at: dict = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, so that a long session doesn't keep them all."""
+    for t in tables:
+        seen, path = _at.pop(id(t), (None, None))
+        if seen is None or seen() is not t:
+            continue
+        spark = t.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def gapless_rank(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], into: str) -> DataFrame:
