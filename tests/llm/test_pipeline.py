@@ -20,7 +20,7 @@ def test_stages_against_brute_force(spark):
         assert d.columns == docs.columns and d.dtypes == docs.dtypes
         kept[name] = {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
     assert len(kept["language ID"]) == docs.count()  # all are prose of known languages
-    parts = plain_components(kept["language ID"])
+    parts = plain_components(kept["language ID"], words=5, num=80)
     assert set(kept["n-gram Jaccard join"]) == {i for i, (_, c) in parts.items() if i == c}
     assert set(kept["secret scans"]) == set(kept["n-gram Jaccard join"])
     assert secrets.report(d).agg(F.sum(F.col("n_assign") + F.col("n_access") + F.col("n_hex"))).first()[0] == 0

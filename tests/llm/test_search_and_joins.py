@@ -40,13 +40,13 @@ def test_large_numbers_are_exact():
     assert knn.scores(q, x).tolist() == [[2**60 + 15, (2**40 + 3 * 2**61) % 2**64 - (2**64 if (2**40 + 3 * 2**61) % 2**64 >= 2**63 else 0)]]
 
 
-def plain_components(texts):
+def plain_components(texts, words=3, num=90):
     """By all pairs."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for i, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
-        sets[i] = set(zip(w, w[1:], w[2:])) if len(w) > 2 else ({tuple(w)} if w else set())
+        sets[i] = set(zip(*[w[j:] for j in range(words)])) if len(w) >= words else ({tuple(w)} if w else set())
     parent = {i: i for i in sets}
 
     def find(x):
@@ -58,7 +58,7 @@ def plain_components(texts):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if x and y and 100 * len(x & y) >= num * len(x | y):
                 u, v = find(a), find(b)
                 parent[max(u, v)] = min(u, v)
     return {i: (len(sets[i]), find(i)) for i in sets}
