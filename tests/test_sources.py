@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from velotrace.operators import grids, relational
 from velotrace.sources import geometry, pings, sinks
@@ -30,6 +31,63 @@ def test_csv(spark, tmp_path):
     assert pings.read_csv(spark, str(tmp_path / "c")).collect() == d.collect()
 
 
+def test_csv_rows_do_not_depend_on_what_is_selected(spark, tmp_path):
+    """A bad direction or speed alone is null; a bad time, a short line or a bad place is no row, whatever is read of it."""
+    good = "1,7,1488297600,12,39.9,116.4,90,1,1"
+    lines = [good, good.replace(",90,", ",north,"), good.replace("12,39.9", "fast,39.9"), good.replace("1488297600", "12x"), good.replace("39.9", ""), good.rsplit(",", 1)[0], good + ",more", '"1,x",7,1488297600,12,39.9,116.4,90,1,1']
+    (tmp_path / "a.csv").write_text("\n".join([",".join(pings.CORE.names), *lines]) + "\n", encoding="utf-8")
+    d = pings.read_csv(spark, str(tmp_path / "a.csv"))
+    assert d.count() == len(d.collect()) == d.select("taxi_id").count() == len(d.select("direction").collect()) == 5
+    assert sorted(str(r.direction) for r in d.collect()) == ["90.0"] * 4 + ["None"]
+    p = pings.read_positional(spark, str(tmp_path / "a.csv"))
+    assert p.count() == len(p.collect()) == p.select("direction").count() == 4
+    assert {r.group_id for r in p.collect()} == {"1", "1,x"}
+    with pytest.raises(ValueError, match="lacks"):
+        pings.read_csv(spark, str(tmp_path / "a.csv"), types.StructType([*pings.CORE.fields, types.StructField("altitude", types.DoubleType())]))
+
+
+def test_a_mark_before_the_header(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([(1, "度")], "a int, b string"), str(tmp_path / "m"))
+    raw = next((tmp_path / "m").glob("part-*")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfa,b") and spark.read.option("header", True).csv(str(tmp_path / "m")).columns == ["a", "b"]
+
+
+def test_charsets(spark, tmp_path):
+    for name, charset in (("u", "utf-8"), ("g", "gbk")):
+        (tmp_path / name).write_bytes("name,wkt\n五环路,\"LINESTRING (1 2, 3 4)\"\n".encode(charset))
+        assert geometry.read_wkt(spark, str(tmp_path / name)).first().name == "五环路"
+
+
+def test_rows_are_counted_and_appended(spark, tmp_path):
+    d = spark.createDataFrame([(1, [(0.5, 1.0), (2.0, 3.0)])], "id long, points array<struct<x:double,y:double>>")
+    for kind in ("geojson", "csv", "parquet"):
+        path = str(tmp_path / f"t.{kind}")
+        assert sinks.write_vector(d, "points", path) == 1
+        with pytest.raises(FileExistsError):
+            sinks.write_vector(d, "points", path)
+        assert sinks.write_vector(d.unionAll(d), "points", path, append=True) == 2
+    with pytest.raises(ValueError, match="no format"):
+        sinks.write_vector(d, "points", str(tmp_path / "t.shp"))
+    with pytest.raises(RuntimeError, match="1 rows were written, 0 are there"):
+        sinks.checked(d, lambda x: x.write.format("noop").mode("overwrite").save(), lambda: 0)
+
+
+def test_a_replacement_that_was_cut_off(spark, tmp_path):
+    """The old data are found again where the new ones had not come into place."""
+    path = tmp_path / "r"
+    sinks.replace(spark.range(4), str(path))
+    path.rename(tmp_path / "r.old")
+    sinks.replace(spark.range(5), str(path))
+    assert spark.read.parquet(str(path)).count() == 5 and not (tmp_path / "r.old").exists()
+
+
+def test_run_folders(spark, tmp_path):
+    assert not (tmp_path / sinks.new_run(spark, str(tmp_path), "a", execute=False)).exists()
+    assert (tmp_path / "a") == type(tmp_path)(sinks.new_run(spark, str(tmp_path), "a")) and (tmp_path / "a").is_dir()
+    with pytest.raises(FileExistsError):
+        sinks.new_run(spark, str(tmp_path), "a")
+
+
 def test_rasters(spark, tmp_path):
     cells = grids.stack({"a": spark.createDataFrame([(0, 1, 2.0)], "row long, col long, value double")})
     spec = {"cell": 150.0, "width": 3}

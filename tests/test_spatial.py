@@ -32,7 +32,9 @@ def test_density_against_a_dense_convolution(spark):
     assert all(abs(got.get((r, c), 0) - dense[r, c]) < 1e-9 for r in range(15) for c in range(10))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(graphs, "LOCAL_EDGES", local)
     cells = spark.createDataFrame([(0, 0), (1, 1), (3, 3), (3, 4), (9, 0)], "row long, col long")
     got = {(r.row, r.col): r.label for r in graphs.raster_components(cells).collect()}
     assert got == {(0, 0): 1, (1, 1): 1, (3, 3): 2, (3, 4): 2, (9, 0): 3}
@@ -80,7 +82,10 @@ def test_fishnet_keeps_lengths(spark):
     assert all(abs(got[i] - math.hypot(c - a, e - b)) < 1e-6 for i, a, b, c, e in rows)
 
 
-def test_nearest_segment_against_all_pairs(spark):
+@pytest.mark.parametrize("tolerance,held", [(30.0, True), (30.0, False), (200.0, True)])
+def test_nearest_segment_against_all_pairs(spark, monkeypatch, tolerance, held):
+    if not held:
+        monkeypatch.setattr(relational, "BROADCAST_BYTES", 0)
     rng = random.Random(4)
     segs = [(i, *[rng.uniform(0, 1000) for _ in range(4)]) for i in range(40)] + [(40, 0.0, 500.0, 1000.0, 500.0), (41, 0.0, 500.0, 1000.0, 500.0)]
     points = [(i, rng.uniform(-100, 1100), rng.uniform(-100, 1100)) for i in range(200)] + [(200, 30.0, 530.0), (201, 500.0, 500.0)]
@@ -89,13 +94,13 @@ def test_nearest_segment_against_all_pairs(spark):
         t = min(max(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0), 1)
         return math.hypot(px - x1 - t * (x2 - x1), py - y1 - t * (y2 - y1))
 
-    got = relational.nearest_segment(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(segs, "road_idx long, x1 double, y1 double, x2 double, y2 double"), 30.0, "id", [])
+    got = relational.nearest_segment(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(segs, "road_idx long, x1 double, y1 double, x2 double, y2 double"), tolerance, [])
     for r in got.collect():
         near = [(distance(r.x, r.y, *s[1:]), s[0]) for s in segs]
         best = min(near)
-        if best[0] > 30 + 1e-9:
+        if best[0] > tolerance + 1e-9:
             assert r.road_idx is None
-        elif best[0] < 30 - 1e-9:
+        elif best[0] < tolerance - 1e-9:
             assert abs(r.distance - best[0]) < 1e-9 and r.road_idx == min(i for d, i in near if abs(d - best[0]) < 1e-12)
 
 
@@ -156,6 +161,34 @@ def test_shortest_paths_against_all_pairs(spark):
         assert (r.dist_m is None) == np.isinf(d[a, b]) and (r.dist_m is None or abs(r.dist_m - d[a, b]) < 1e-6)
 
 
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_largest_component(spark, monkeypatch, local):
+    """On the driver and by rounds of joins alike; of equally large ones that of the least key."""
+    monkeypatch.setattr(network, "LOCAL_SEGMENTS", local)
+    roads = [road(1, (9, 9), (8, 9), (7, 9)), road(2, (1, 1), (2, 1)), road(3, (2, 1), (3, 1)), road(4, (50, 50), (60, 50))]
+    got = network.largest_component(network.split(network.drivable(spark.createDataFrame(roads, KIND)))).orderBy("road_idx").collect()
+    assert [(r.road_idx, r.osm_id) for r in got] == [(0, "2"), (1, "3")]
+
+
+def test_largest_label_of_a_long_chain():
+    n = 5000
+    order = np.random.default_rng(1).permutation(n)
+    assert network.largest_label(order[:-1], order[1:], n).all()
+    assert network.largest_label(np.array([0, 3, 4]), np.array([1, 4, 5]), 6).tolist() == [False, False, False, True, True, True]
+
+
+def test_direct_ways(spark):
+    rows = [("B", 3.0, 8.0, 5.0), ("B", 8.0, 3.0, 5.0), ("F", 3.0, 8.0, 5.0), ("F", 8.0, 3.0, None), ("T", 8.0, 3.0, 5.0), ("T", 3.0, 8.0, None), ("B", 3.0, 3.0, None)]
+    d = spark.createDataFrame([(((1, a, way), (1, b, way)), want) for way, a, b, want in rows], "p struct<s:struct<road_idx:int,position:double,oneway:string>,e:struct<road_idx:int,position:double,oneway:string>>, want double")
+    assert all(r.got == r.want for r in d.select("want", network.direct_metres(F.col("p.s"), F.col("p.e")).alias("got")).collect())
+
+
+def test_no_more_edges_than_a_task_may_hold(spark, monkeypatch):
+    monkeypatch.setattr(network, "GRAPH_BYTES", 100)
+    with pytest.raises(ValueError, match="regions"):
+        routes(spark, [road(1, (0, 0), (1000, 0))], [("r", 10.0, 0.0, 1190.0, 0.0)])
+
+
 def test_detours(spark):
     line = lambda *p: [(float(x), float(y)) for x, y in p]
     actual = [("a", line((0, 0), (149, 0))), ("b", line((0, 0), (150, 0))), ("none", line((0, 0), (1, 0))), ("zero", line((0, 0), (0, 0))), ("null", None), ("flat", line((0, 0), (1, 0)))]

@@ -13,10 +13,10 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 LEVELS = ("畅通", "轻度拥挤", "拥挤", "严重拥挤")
 #: Words that stand for true. Fixed values.
 TRUE_WORDS = ("true", "1", "yes", "y", "t")
-#: Road classes that cars use. Fixed values.
+#: Road classes that cars use, by name. Fixed values.
 DRIVABLE = (
-    "motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link",
-    "tertiary", "tertiary_link", "unclassified", "residential", "living_street", "service",
+    "living_street", "motorway", "motorway_link", "primary", "primary_link", "residential", "secondary", "secondary_link", "service",
+    "tertiary", "tertiary_link", "trunk", "trunk_link", "unclassified",
 )
 
 

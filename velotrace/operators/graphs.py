@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hexgrid import NEIGHBOURS
+from ..tables import discard, written
+
+
+#: Edges whose components are found on the driver.
+LOCAL_EDGES = 1_000_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="velotrace-"))
-    return df.checkpoint()
+    """df as a table in the shared folder."""
+    return written(df, "lineage")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of undirected edges (u, v), the component being its smallest node.
 
-    Alternates two steps that hang a node's neighbours on the smallest of them, those above the node and those below;
+    Few edges, as those of a city's cells, are laid out in arrays on the driver. With more, the search is distributed: it
+    alternates two steps that hang a node's neighbours on the smallest of them, those above the node and those below;
     each takes one aggregation and one join on the node, so a node with very many neighbours stays a plain join.
     """
+    edges = cut_lineage(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
+    if edges.count() <= LOCAL_EDGES:
+        got = edges.toArrow()
+        ends = np.stack([got["u"].to_numpy(), got["v"].to_numpy()])
+        node, at = np.unique(ends, return_inverse=True)
+        at = at.reshape(ends.shape)
+        found = pa.table({"node": node, "component": node[roots(at[0], at[1], len(node))]})
+        return edges.sparkSession.createDataFrame(found, "node long, component long")
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     e = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
@@ -34,7 +45,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = up.groupBy("u").agg(F.min("v").alias("m"))
         down = up.join(least, "u")
         down = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(down.select("u", F.col("m").alias("v")))
-        e = cut_lineage(down.where("u <> v").distinct())
+        before, e = e, cut_lineage(down.where("u <> v").distinct())
+        discard(before)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
@@ -45,6 +57,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """G4 in arrays: the least node of the component of each of n nodes.
+
+    Roots are hung on the least root that an edge leads to, and chains of roots are shortened, until nothing moves.
+    """
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[u], root[v])
+        now = root.copy()
+        np.minimum.at(now, root[u], least)
+        np.minimum.at(now, root[v], least)
+        while not np.array_equal(now, now[now]):
+            now = now[now]
+        if np.array_equal(now, root):
+            return root
+        root = now
+
+
+def largest_label(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Which of n nodes are in the component with most of them, of equal ones in that of the least node."""
+    root = roots(u, v, n)
+    return root == np.bincount(root).argmax() if n else np.zeros(0, bool)
+
+
 def _neighbours(cells: DataFrame, a: str, b: str, steps) -> DataFrame:
     """Pairs of neighbouring cells as edges of whole numbers that keep the order of (a, b)."""
     key = lambda x, y: x * F.lit(1 << 32) + (y + (1 << 31))

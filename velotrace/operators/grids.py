@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import hexgrid
+from ..functions.geometry import finite
 from ..functions.scalars import congestion_level, hour_of_day
 from .graphs import cut_lineage
 from .trajectory import with_hexagon
@@ -71,6 +72,8 @@ def histogram(points: DataFrame, grid: Grid, weight: str | None = None, by: list
     col = F.floor((F.col("x") - grid.xmin) / grid.cell).cast("long")
     row = (F.lit(grid.height - 1) - F.floor((F.col("y") - grid.ymin) / grid.cell)).cast("long")
     value = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
+    if weight:  # a weight that is no number takes no part
+        inside = inside & finite(F.col(weight).cast("double"))
     return points.where(inside).groupBy(*(by or []), row.alias("row"), col.alias("col")).agg(value.alias("value"))
 
 
@@ -145,6 +148,18 @@ def regions(cells: DataFrame, labels: DataFrame, grid: Grid, least: int = DEFAUL
     return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_density_norm"), F.desc("area_km2"), "label")))
 
 
+def multipolygon(cells: Column, grid: Grid) -> Column:
+    """SP20: cells (row, col) as a WKT MULTIPOLYGON of their squares, in the order of the array."""
+
+    def square(c: Column) -> Column:
+        x = [F.lit(grid.xmin) + (c["col"] + i) * F.lit(float(grid.cell)) for i in (0, 1)]
+        y = [F.lit(grid.ymax) - (c["row"] + i) * F.lit(float(grid.cell)) for i in (1, 0)]
+        corners = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
+        return F.concat(F.lit("(("), F.concat_ws(", ", *[F.concat_ws(" ", x[i].cast("string"), y[j].cast("string")) for i, j in corners]), F.lit("))"))
+
+    return F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform(cells, square), ", "), F.lit(")"))
+
+
 def align_days(stats: DataFrame, value: str, day: str = "label") -> DataFrame:
     """Every cell on every day, 0 where it had none."""
     stats = cut_lineage(stats)  # small, and read several times

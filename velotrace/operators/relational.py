@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from .graphs import cut_lineage
+
+#: Bytes of a table that is bounded by the city and broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64_000_000
 
 
 def require_columns(df: DataFrame, names: list[str], what: str = "table") -> DataFrame:
@@ -16,17 +20,72 @@ def require_columns(df: DataFrame, names: list[str], what: str = "table") -> Dat
     return df
 
 
+def require_crs(found: str | None, wanted: str, what: str = "layer") -> None:
+    """An error unless a layer has a coordinate system, and the one that is wanted."""
+    if not found:
+        raise ValueError(f"{what} has no coordinate system")
+    if found.upper() != wanted.upper():
+        raise ValueError(f"{what} is in {found}, not in {wanted}")
+
+
+def more_than(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The keys that more than n rows have, with their number."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n)
+
+
+def _at_most(df: DataFrame, keys: list[str], n: int, what: str) -> DataFrame:
+    count = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    name = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
+    return df.withColumn("_n", count).where(F.when(F.col("_n") > n, F.raise_error(F.concat(F.lit(f"{what}: "), name)).cast("boolean")).otherwise(True)).drop("_n")
+
+
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """U4: df, or an error at run time if a key is there twice."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    name = F.concat_ws(",", *[F.col(k).cast("string") for k in keys])
-    return df.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("not unique: "), name)).cast("boolean")).otherwise(True)).drop("_n")
+    return _at_most(df, keys, 1, "not unique")
 
 
-def at_most(df: DataFrame, key: str, n: int) -> DataFrame:
+def at_most(df: DataFrame, key: str, n: int = 2) -> DataFrame:
     """Df, or an error at run time if a key has more than n rows."""
-    c = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return df.withColumn("_n", c).where(F.when(F.col("_n") > n, F.raise_error(F.concat(F.lit("too many rows: "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).drop("_n")
+    return _at_most(df, [key], n, "too many rows")
+
+
+def stable_order(df: DataFrame, keys: list[str], into: str = "place") -> DataFrame:
+    """O2: df with each row's place from 1 in an order that tells rows apart."""
+    return numbered(df, keys, into).withColumn(into, F.col(into) + 1)
+
+
+def head(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows of an order; each task hands on no more than n."""
+    return df.orderBy(*order).limit(n)
+
+
+def stacked(*frames: DataFrame) -> DataFrame:
+    """The rows of all, by name."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def all_keys(key: str, *frames: DataFrame) -> DataFrame:
+    """The keys that any of them has, each once."""
+    return stacked(*[f.select(key) for f in frames]).distinct()
+
+
+def first_per_key(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Of the rows of each key the values of the first in an order."""
+    first = F.min_by(F.struct(*values), F.struct(*order))
+    return df.groupBy(*keys).agg(first.alias("_f")).select(*keys, *[F.col(f"_f.{v}") for v in values])
+
+
+def population(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean and standard deviation of a whole population."""
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+
+
+def lines_with_trips(lines: DataFrame, trips: DataFrame, key: str = "trip_id") -> DataFrame:
+    """Every line with the columns of its trip, null where there is none; trips are unique by key."""
+    return lines.join(require_unique(trips, [key]), key, "left")
 
 
 def qualified(df: DataFrame, inside: Column, key: str = "taxi_id") -> DataFrame:
@@ -48,35 +107,70 @@ def whole_segments(df: DataFrame, hit: Column, within: list[str]) -> DataFrame:
 
 
 def in_cells(df: DataFrame, cells: DataFrame, keep: list[str]) -> DataFrame:
-    """Rank of the region whose cells (row, col, rank) hold a row's cell; -1 for none, the last of several."""
+    """J6 on a raster: rank of the region whose cells (row, col, rank) hold a row's cell; -1 for none, the last of several."""
     last = cells.groupBy("row", "col").agg(F.max("rank").alias("rank"))
     return df.join(last, ["row", "col"], "left").select(*keep, F.coalesce("rank", F.lit(-1)).alias("candidate_rank"))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, tolerance: float, key: str, payload: list[str]) -> DataFrame:
-    """For each point (x, y) the nearest segment (road_idx, x1, y1, x2, y2) within a distance, ties to the
-    smaller road_idx: road_idx, distance and position along it, null where there is none.
+def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df to be broadcast if its rows, of so many bytes each, are known to take no more than BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """Numbers rows from 0 in an order that tells them apart: ranges of it are sorted, and their counts, one a range, are
+    added up, so no task holds all rows."""
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    d = cut_lineage(d).withColumn("_range", F.shiftrightunsigned("_at", 33))
+    count = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    count = count.select("_range", before.alias("_before"))
+    number = F.col("_before") + F.col("_at") - F.shiftleft("_range", 33)
+    return d.join(F.broadcast(count), "_range").withColumn(into, number.cast("long")).drop("_range", "_before", "_at")
+
+
+def squares(segments: DataFrame, tolerance: float, side: float, payload: list[str]) -> DataFrame:
+    """(_c, _r, _near): for each square the segments that come within the tolerance of it.
 
-    Segments are entered in every square of side tolerance that they, widened by it, can touch; a point looks into its
-    own square. So pairs are formed within squares alone.
+    A segment is walked in steps no longer than a square; what lies near it lies near one of them.
     """
-    side = float(tolerance)
-    col = lambda c: F.floor(c / side).cast("long")
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    s = segments.select("road_idx", "x1", "y1", "x2", "y2", *payload)
-    # a segment is walked in steps no longer than a square, each with its neighbourhood
+    s = segments.select(F.struct("road_idx", *dict.fromkeys(["x1", "y1", "x2", "y2", *payload])).alias("_s"), "road_idx", "x1", "y1", "x2", "y2")
     steps = F.ceil(F.hypot(x2 - x1, y2 - y1) / side).cast("int") + 1
     s = s.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), steps - 1)))
     t = F.when(F.col("_n") > 1, F.col("_i") / (F.col("_n") - 1)).otherwise(0.0)
-    s = s.withColumns({"_c": col(x1 + t * (x2 - x1)), "_r": col(y1 + t * (y2 - y1))})
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
-    s = s.withColumn("_a", F.explode(around)).withColumns({"_c": F.col("_c") + F.col("_a.i"), "_r": F.col("_r") + F.col("_a.j")})
-    s = s.drop("_n", "_i", "_a").dropDuplicates(["road_idx", "_c", "_r"])
-    p = points.withColumns({"_c": col(F.col("x")), "_r": col(F.col("y"))})
-    d, along = geometry.point_segment(F.col("x"), F.col("y"), x1, y1, x2, y2)
-    pairs = p.select(key, "x", "y", "_c", "_r").join(s, ["_c", "_r"]).select(key, d.alias("distance"), "road_idx", along.alias("position"), *payload)
-    best = pairs.where(F.col("distance") <= side).groupBy(key).agg(F.min(F.struct("distance", "road_idx", "position", *payload)).alias("_b"))
-    return points.join(best, key, "left").select(*[points[c] for c in points.columns], "_b.road_idx", "_b.distance", "_b.position", *[F.col(f"_b.{c}") for c in payload])
+    around = tolerance + side / 2
+    cells = lambda v: F.sequence(F.floor((v - around) / side).cast("long"), F.floor((v + around) / side).cast("long"))
+    s = s.withColumn("_c", F.explode(cells(x1 + t * (x2 - x1)))).withColumn("_r", F.explode(cells(y1 + t * (y2 - y1))))
+    return s.dropDuplicates(["road_idx", "_c", "_r"]).groupBy("_c", "_r").agg(F.collect_list("_s").alias("_near"))
+
+
+def with_nearest(points: DataFrame, segments: DataFrame, tolerance: float, payload: list[str], x: Column, y: Column, into: str) -> DataFrame:
+    """For each row the nearest segment (road_idx, x1, y1, x2, y2) of its point within a distance, ties to the
+    smaller road_idx: a struct of distance, road_idx, position along it and the payload, null where there is none.
+
+    Roads are bounded by the city: their squares are written and broadcast behind a check of their bytes, so points
+    aren't moved. With more, points and squares are joined by a shuffle.
+    """
+    side = max(float(tolerance), min(4.0 * tolerance, 120.0))
+    near = cut_lineage(squares(segments, tolerance, side, payload))
+    entries = near.agg(F.coalesce(F.sum(F.size("_near")), F.lit(0))).first()[0]
+    small = entries * (64 + 24 * len(payload)) + 64 * near.count() <= BROADCAST_BYTES
+    d = points.withColumns({"_c": F.floor(x / side).cast("long"), "_r": F.floor(y / side).cast("long"), "_x": x, "_y": y})
+    d = d.join(F.broadcast(near) if small else near, ["_c", "_r"], "left")
+
+    def placed(s: Column) -> Column:
+        away, along = geometry.point_segment(F.col("_x"), F.col("_y"), s["x1"], s["y1"], s["x2"], s["y2"])
+        return F.struct(away.alias("distance"), s["road_idx"].alias("road_idx"), along.alias("position"), *[s[c].alias(c) for c in payload])
+
+    best = F.array_min(F.filter(F.transform("_near", placed), lambda s: s["distance"] <= float(tolerance)))
+    return d.withColumn(into, best).drop("_c", "_r", "_x", "_y", "_near")
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, tolerance: float, payload: list[str]) -> DataFrame:
+    """J8 and J9 for points (x, y): their columns with road_idx, distance, position and the payload, null where there is none."""
+    d = with_nearest(points, segments, tolerance, payload, F.col("x"), F.col("y"), "_best")
+    return d.select(*points.columns, "_best.road_idx", "_best.distance", "_best.position", *[F.col(f"_best.{c}") for c in payload])
 
 
 def endpoints(trips: DataFrame) -> DataFrame:
@@ -87,17 +181,8 @@ def endpoints(trips: DataFrame) -> DataFrame:
 
 
 def strided(df: DataFrame, key: str, n: int, i: int) -> DataFrame:
-    """Every n-th row from the i-th on in the order of a whole-number key that is unique.
-
-    Rows are numbered within ranges of the key and the ranges' counts are added up, so no task holds all rows.
-    """
-    width = F.lit(1 << 16)
-    d = df.withColumn("_range", F.floor(F.col(key) / width))
-    count = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    count = count.select("_range", before.alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1 + F.col("_before")
-    return d.join(count, "_range").withColumn("_n", number).where(F.pmod(F.col("_n"), F.lit(n)) == i).drop("_range", "_before", "_n")
+    """Every n-th row from the i-th on in the order of a key that is unique."""
+    return numbered(df, [key], "_n").where(F.pmod(F.col("_n"), F.lit(n)) == i).drop("_n")
 
 
 def detours(actual: DataFrame, shortest: DataFrame, threshold: float = 1.5) -> DataFrame:

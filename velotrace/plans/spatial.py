@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import geometry, hexgrid, projection
+from ..functions.scalars import density_window
 from ..operators import graphs, grids
 from ..operators import trajectory as T
+from ..operators.polygons import first_area, flagged, with_area
 from .registry import query
-from .trajectory import CONGESTED, CTE, HEXED, featured, labelled, pings
+from .trajectory import CONGESTED, CTE, HEXED, POINTS, featured, gated_points, labelled, pings, table
 
 #: The pings lie in a box of two kilometres; cells are small so that it holds many.
 GRID = grids.Grid.around(447600.0, 4415700.0, 449900.0, 4418100.0, 150.0)
@@ -122,13 +126,39 @@ for _name, _where in THEMES.items():
     _theme(_name, _where)
 
 
+#: SP14's windows of the local day (fixed values), and by how many hours pings, which are of a morning, are moved there.
+WINDOWS = {"morning": (7, 9, 0), "off_peak": (9, 17, 0), "evening": (17, 19, 10), "night": (0, 6, 18)}
+
+
+def _window(name: str, begin: int, end: int, later: int) -> None:
+    hour = f"((timestamp + {28800 + later * 3600}) % 86400 // 3600)"
+
+    @query(f"SP14_density_{name}", kde_sql(f"{hour} >= {begin} AND {hour} < {end}") + " SELECT row, col, round(value, 6) AS value FROM kde")
+    def density(spark, sf_dir):
+        return kde(projected(spark, sf_dir).where(density_window(F.col("timestamp") + later * 3600) == name))
+
+
+for _name, _parts in WINDOWS.items():
+    _window(_name, *_parts)
+
+
+def other_kde(where: str, name: str) -> str:
+    """kde_sql's steps under other names, to stand beside them."""
+    steps = kde_sql(where).split("hist AS (", 1)[1]
+    for step in ("hist", "spread", "kept", "kde"):
+        steps = re.sub(rf"\b{step}\b", f"{step}_{name}", steps)
+    return f"hist_{name} AS ({steps}"
+
+
 @query(
     "SP15_density_difference",
-    f"""{XY}, hist AS (SELECT {CELL}, sum(CASE WHEN occupied = 1 THEN 1.0 ELSE -1.0 END) AS value FROM xy WHERE {INSIDE} GROUP BY ALL) SELECT row, col, CAST(value AS DOUBLE) AS value FROM hist""",
+    f"""{kde_sql('occupied = 1')}, {other_kde('occupied = 0', 'empty')}
+SELECT row, col, round(coalesce(kde.value, 0) - coalesce(kde_empty.value, 0), 6) AS value FROM kde FULL JOIN kde_empty USING (row, col)""",
 )
 def density_difference(spark, sf_dir):
     d = projected(spark, sf_dir)
-    return grids.difference(grids.histogram(d.where("occupied = 1"), GRID), grids.histogram(d.where("occupied = 0"), GRID))
+    of = lambda where: grids.density(grids.histogram(d.where(where), GRID), GRID, RADIUS)
+    return grids.difference(of("occupied = 1"), of("occupied = 0")).withColumn("value", F.round("value", 6))
 
 
 DAILY = kde_sql("true", "1.0", "day % 7").replace("day % 7, ", "CAST(day % 7 AS INTEGER) AS label, ", 1).replace("SELECT day % 7, row", "SELECT label, row").replace("PARTITION BY day % 7", "PARTITION BY label")
@@ -201,6 +231,25 @@ def regions(spark, sf_dir):
     return d.select(F.col("rank").cast("long").alias("rank"), "n_cells", *[F.round(k, n).alias(k) for k, n in rounded.items()])
 
 
+@query(
+    "O5_ranked",
+    f"""{COMPONENTS} SELECT row_number() OVER (ORDER BY avg(mean_norm) DESC, count(*) DESC, label) AS rank, label, count(*) AS n_cells FROM labels GROUP BY label""",
+)
+def ranked(spark, sf_dir):
+    c = core(spark, sf_dir)
+    return grids.regions(c, graphs.raster_components(c), GRID, 1).select(F.col("rank").cast("long").alias("rank"), "label", "n_cells")
+
+
+@query(
+    "SP20_polygons",
+    f"""{COMPONENTS} SELECT label, 'MULTIPOLYGON (' || string_agg('((' || w || ' ' || s || ', ' || e || ' ' || s || ', ' || e || ' ' || n || ', ' || w || ' ' || n || ', ' || w || ' ' || s || '))', ', ' ORDER BY row, col) || ')' AS wkt
+FROM (SELECT *, CAST({GRID.xmin} + col * {GRID.cell} AS DOUBLE) AS w, CAST({GRID.xmin} + (col + 1) * {GRID.cell} AS DOUBLE) AS e, CAST({GRID.ymax} - (row + 1) * {GRID.cell} AS DOUBLE) AS s, CAST({GRID.ymax} - row * {GRID.cell} AS DOUBLE) AS n FROM labels) GROUP BY label HAVING count(*) >= 3""",
+)
+def polygons(spark, sf_dir):
+    c = core(spark, sf_dir)
+    return grids.regions(c, graphs.raster_components(c), GRID).select("label", grids.multipolygon(F.col("cells"), GRID).alias("wkt"))
+
+
 STAR = f"""{CTE}, {HEXED},
 stats AS (SELECT CAST(day % 7 AS INTEGER) AS label, q, r, CAST(count(*) AS DOUBLE) AS v FROM hexed GROUP BY ALL),
 every AS (SELECT c.q, c.r, d.label, coalesce(s.v, 0) AS v FROM (SELECT DISTINCT q, r FROM stats) c CROSS JOIN (SELECT DISTINCT label FROM stats) d LEFT JOIN stats s ON s.q = c.q AND s.r = c.r AND s.label = d.label),
@@ -296,29 +345,97 @@ def preview(spark, sf_dir):
     return grids.preview(d).withColumn("shade", F.round("shade", 6))
 
 
-#: A box and a triangle of the city, in degrees.
-AREAS = {"west": [(116.391, 39.891), (116.4, 39.891), (116.4, 39.909), (116.391, 39.909)], "corner": [(116.4, 39.9), (116.41, 39.9), (116.41, 39.91)]}
+#: Areas of the city, in degrees and in an order, whose sides no ping meets: a box and a triangle that overlap.
+DISTRICTS = [("west", [(116.3910037, 39.8910041), (116.4030037, 39.8910041), (116.4030037, 39.9090041), (116.3910037, 39.9090041)]), ("corner", [(116.4000037, 39.9000041), (116.4100037, 39.9000041), (116.4100037, 39.9100093)])]
+#: Areas whose sides and corners are met.
+BLOCKS = [("a", [(2, 2), (6, 2), (6, 6), (2, 6)]), ("b", [(4, 4), (9, 4), (9, 9)])]
 
 
 def ring(points: list[tuple[float, float]]):
-    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in points])
+    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points])
+
+
+def areas(spark, named: list[tuple]) -> DataFrame:
+    rows = [(i, name, [(float(x), float(y)) for x, y in points]) for i, (name, points) in enumerate(named)]
+    kind = "int" if named and isinstance(named[0][0], int) else "string"
+    return spark.createDataFrame(rows, f"ord int, name {kind}, points array<struct<x:double,y:double>>")
+
+
+EVENT_XY = "SELECT event_id AS src_seq, 116.40 + ((event_id * 7919) % 2001 - 1000) * CAST(1e-5 AS DOUBLE) AS x, 39.90 + ((event_id * 104729) % 2001 - 1000) * CAST(1e-5 AS DOUBLE) AS y FROM events"
 
 
 @query(
     "J5_districts",
-    f"""WITH p AS (SELECT event_id, 116.40 + ((event_id * 7919) % 2001 - 1000) * CAST(1e-5 AS DOUBLE) AS x, 39.90 + ((event_id * 104729) % 2001 - 1000) * CAST(1e-5 AS DOUBLE) AS y FROM events)
-SELECT event_id AS src_seq, CASE WHEN x > 116.4 AND x < 116.41 AND y > 39.9 AND (39.91 - 39.9) * (x - 116.4) - (116.41 - 116.4) * (y - 39.9) > 1e-12 THEN 'corner' WHEN x > 116.391 AND x < 116.4 AND y > 39.891 AND y < 39.909 THEN 'west' ELSE 'unknown' END AS district
-FROM p WHERE abs((39.91 - 39.9) * (x - 116.4) - (116.41 - 116.4) * (y - 39.9)) > 1e-12""",
+    f"""SELECT src_seq, CASE WHEN x < 116.4100037 AND y > 39.9000041 AND (39.9100093 - 39.9000041) * (x - 116.4000037) > (116.4100037 - 116.4000037) * (y - 39.9000041) THEN 'corner'
+  WHEN x > 116.3910037 AND x < 116.4030037 AND y > 39.8910041 AND y < 39.9090041 THEN 'west' ELSE 'unknown' END AS district FROM ({EVENT_XY})""",
 )
 def districts(spark, sf_dir):
-    d = pings(spark, sf_dir)
-    x, y = F.col("longitude"), F.col("latitude")
-    # points on the triangle's slanted side are a matter of rounding; they are left out here and in the SQL
-    d = d.where(F.abs((39.91 - 39.9) * (x - 116.4) - (116.41 - 116.4) * (y - 39.9)) > 1e-12)
-    name = F.lit("unknown")
-    for k, points in AREAS.items():
-        name = F.when(geometry.in_ring(x, y, ring(points)), k).otherwise(name)
-    return d.select("src_seq", name.alias("district"))
+    d = with_area(pings(spark, sf_dir), areas(spark, DISTRICTS), F.col("longitude"), F.col("latitude"), 0.002, "district", F.lit("unknown"))
+    return d.select("src_seq", "district")
+
+
+@query(
+    "J5_borders",
+    "SELECT event_id, CASE WHEN x < 9 AND y > 4 AND x - 4 > y - 4 THEN 'b' WHEN x > 2 AND x < 6 AND y > 2 AND y < 6 THEN 'a' ELSE 'unknown' END AS district FROM (SELECT event_id, event_id % 11 AS x, user_id % 11 AS y FROM events)",
+)
+def borders(spark, sf_dir):
+    """Sides and corners lie outside."""
+    x, y = (F.col("event_id") % 11).cast("double"), (F.col("user_id") % 11).cast("double")
+    return with_area(table(spark, sf_dir, "events"), areas(spark, BLOCKS), x, y, 1.5, "district", F.lit("unknown")).select("event_id", "district")
+
+
+@query(
+    "J6_regions",
+    "SELECT event_id, CASE WHEN x <= 9 AND y >= 4 AND x - 4 >= y - 4 THEN 2 WHEN x BETWEEN 2 AND 6 AND y BETWEEN 2 AND 6 THEN 1 ELSE -1 END AS candidate_rank FROM (SELECT event_id, event_id % 11 AS x, user_id % 11 AS y FROM events)",
+)
+def regions_of_points(spark, sf_dir):
+    """Sides and corners lie inside; of several regions the last."""
+    x, y = (F.col("event_id") % 11).cast("double"), (F.col("user_id") % 11).cast("double")
+    ranked_ = areas(spark, [(i, points) for i, (_, points) in enumerate(BLOCKS, 1)])
+    return with_area(table(spark, sf_dir, "events"), ranked_, x, y, 1.5, "candidate_rank", F.lit(-1), True).select("event_id", "candidate_rank")
+
+
+#: Small areas of the city, as boxes.
+STUDY = [(116.3920013, 39.8920017, 116.3950013, 39.8960017), (116.4010013, 39.9030017, 116.4020013, 39.9080017), (116.4071013, 39.8911017, 116.4074013, 39.8914017)]
+
+
+def _clip(axis: str, low: str, high: str) -> tuple[str, str]:
+    """From where to where along it a leg lies within a strip."""
+    a, d = f"p{axis}", f"({axis} - p{axis})"
+    inside = f"{a} BETWEEN {low} AND {high}"
+    return (
+        f"CASE WHEN {d} = 0 THEN CASE WHEN {inside} THEN 0 ELSE 2 END ELSE least(({low} - {a}) / {d}, ({high} - {a}) / {d}) END",
+        f"CASE WHEN {d} = 0 THEN CASE WHEN {inside} THEN 1 ELSE -1 END ELSE greatest(({low} - {a}) / {d}, ({high} - {a}) / {d}) END",
+    )
+
+
+@query(
+    "J10_lines_in_areas",
+    f"""{POINTS}, leg AS (SELECT route_id, longitude AS x, latitude AS y, lag(longitude) OVER r AS px, lag(latitude) OVER r AS py FROM points WINDOW r AS (PARTITION BY route_id ORDER BY seq)),
+box(x0, y0, x1, y1) AS (VALUES {', '.join(map(str, STUDY))}),
+cut AS (SELECT route_id, greatest(0, {_clip('x', 'x0', 'x1')[0]}, {_clip('y', 'y0', 'y1')[0]}) <= least(1, {_clip('x', 'x0', 'x1')[1]}, {_clip('y', 'y0', 'y1')[1]}) AS hit FROM leg, box WHERE px IS NOT NULL)
+SELECT route_id, CAST(bool_or(hit) AS INTEGER) AS in_area FROM cut GROUP BY route_id""",
+)
+def lines_in_areas(spark, sf_dir):
+    boxes = areas(spark, [(str(i), [(a, b), (c, b), (c, d), (a, d)]) for i, (a, b, c, d) in enumerate(STUDY)])
+    return flagged(T.lines(gated_points(spark, sf_dir)), "route_id", "points", boxes, 0.002).select("route_id", "in_area")
+
+
+@query(
+    "J11_regions_of_districts",
+    """SELECT c_custkey, arg_min(n_name, n_nationkey) AS area FROM (SELECT c_custkey, c_custkey * 37 % 230 AS x, c_custkey * 91 % 230 AS y FROM customer) r
+LEFT JOIN (SELECT n_nationkey, n_name, n_nationkey % 5 * 40 AS a, n_nationkey // 5 * 40 AS b FROM nation) n ON x <= a + 40 AND x + 3 >= a AND y <= b + 40 AND y + 3 >= b GROUP BY c_custkey""",
+)
+def regions_of_districts(spark, sf_dir):
+    """Squares of three units against districts that share their borders: the first that a square touches."""
+    def square(x, y, side):
+        at = lambda i, j: F.struct((x + i * side).cast("double").alias("x"), (y + j * side).cast("double").alias("y"))
+        return F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1))
+
+    n, c = F.col("n_nationkey"), F.col("c_custkey")
+    nations = table(spark, sf_dir, "nation").select(n.cast("int").alias("ord"), F.col("n_name").alias("name"), square(n % 5 * 40, F.floor(n / 5) * 40, 40).alias("points"))
+    regions_ = table(spark, sf_dir, "customer").select("c_custkey", square(c * 37 % 230, c * 91 % 230, 3).alias("points"))
+    return first_area(regions_, "c_custkey", "points", nations, 20.0).select("c_custkey", "area")
 
 
 @query(
@@ -342,8 +459,8 @@ def fishnet(spark, sf_dir):
     return grids.fishnet_lengths(d, 500.0, ["hour"]).withColumn("metres", F.round("metres", 3))
 
 
+WEST = [(116.391, 39.891), (116.4, 39.891), (116.4, 39.909), (116.391, 39.909)]
 BOX = [(116.395, 39.895), (116.405, 39.895), (116.405, 39.905), (116.395, 39.905)]
-EVENT_XY = "SELECT event_id AS src_seq, 116.40 + ((event_id * 7919) % 2001 - 1000) * CAST(1e-5 AS DOUBLE) AS x, 39.90 + ((event_id * 104729) % 2001 - 1000) * CAST(1e-5 AS DOUBLE) AS y FROM events"
 
 
 @query("F3_inside_boundary", f"SELECT src_seq FROM ({EVENT_XY}) WHERE x > 116.395 AND x < 116.405 AND y > 39.895 AND y < 39.905")
@@ -354,7 +471,7 @@ def inside_boundary(spark, sf_dir):
 @query("SP2_union_of_rings", f"SELECT src_seq FROM ({EVENT_XY}) WHERE (x > 116.395 AND x < 116.405 AND y > 39.895 AND y < 39.905) OR (x > 116.391 AND x < 116.4 AND y > 39.891 AND y < 39.909)")
 def union_of_rings(spark, sf_dir):
     x, y = F.col("longitude"), F.col("latitude")
-    inside = geometry.in_ring(x, y, ring(BOX)) | geometry.in_ring(x, y, ring(AREAS["west"]))
+    inside = geometry.in_ring(x, y, ring(BOX)) | geometry.in_ring(x, y, ring(WEST))
     return pings(spark, sf_dir).where(inside).select("src_seq")
 
 

@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings, StageResult
+from ..functions.scalars import overlaps_daily
+from ..operators import network as N
+from ..operators import relational as R
 from ..operators import trajectory as T
+from ..operators.graphs import cut_lineage
+from ..operators.polygons import flagged
 from ..operators.relational import require_columns
 from ..sources.sinks import finished, write_json
 
@@ -55,12 +60,12 @@ def run_stage(spark: SparkSession, name: str, stage: Stage, source: DataFrame, p
     return StageResult(name, "SUCCESS", {"rows": rows}, time.time() - begin)
 
 
-def run_days(spark: SparkSession, days: dict[str, DataFrame], root: str, c: Settings = DEFAULT, execute: bool = True) -> list[StageResult]:
-    """All stages of all days, in order; the first failure ends the run. Without execute nothing is written."""
+def run_days(spark: SparkSession, days: dict[str, DataFrame], root: str, c: Settings = DEFAULT, execute: bool = True, stages: tuple[tuple[str, Stage], ...] = STAGES) -> list[StageResult]:
+    """All stages of all days, in order; the first failure ends the run. Without execute nothing is written."""
     out: list[StageResult] = []
     for day, source in sorted(days.items()):
         d = source
-        for name, stage in STAGES:
+        for name, stage in stages:
             path = f"{root}/trip_date={day}/{name}"
             if not execute:
                 out.append(StageResult(f"{day} {name}", "SKIPPED", {}, 0.0))
@@ -73,3 +78,42 @@ def run_days(spark: SparkSession, days: dict[str, DataFrame], root: str, c: Sett
     if execute and not finished(spark, f"{root}/summary"):
         write_json(spark, {r.stage: r.metrics for r in out}, f"{root}/summary")
     return out
+
+
+def solve_path_sets(spark: SparkSession, trips_path: str, roads_path: str, out: str, c: Settings = DEFAULT) -> StageResult:
+    """Path sets of the trips (route_id, sx, sy, ex, ey) and roads (osm_id, fclass, oneway, points) of two tables."""
+
+    def stage(t: DataFrame, c: Settings, _: str) -> DataFrame:
+        net = cut_lineage(N.largest_component(N.split(N.drivable(spark.read.parquet(roads_path)))))
+        return N.route(N.snapped(t, net, c), N.edges(net), c)
+
+    return run_stage(spark, "path sets", stage, spark.read.parquet(trips_path), out, "", c)
+
+
+def select_morning(spark: SparkSession, paths_path: str, trips_path: str, areas: DataFrame, out: str, hours: tuple[int, int] = (7, 9), cell: float = 1000.0) -> StageResult:
+    """The path sets of trips (route_id, start_time, end_time) that overlap the morning and whose paths meet an area."""
+
+    def stage(p: DataFrame, c: Settings, _: str) -> DataFrame:
+        t = spark.read.parquet(trips_path)
+        morning = t.where(overlaps_daily(F.col("start_time"), F.col("end_time"), hours[0] * 60, hours[1] * 60)).select("route_id")
+        d = p.where("status = 'ok'").join(morning, "route_id", "left_semi").withColumn("_path", F.concat_ws("/", "route_id", "alt_rank"))
+        met = flagged(d, "_path", "points", areas, cell).where("in_area = 1").select("route_id").distinct()
+        return p.join(met, "route_id", "left_semi")
+
+    return run_stage(spark, "morning selection", stage, spark.read.parquet(paths_path), out, "")
+
+
+def final_export(spark: SparkSession, paths_path: str, actual_path: str, out: str, threshold: float = DEFAULT.detour_ratio) -> list[StageResult]:
+    """Detours of the actual lines (route_id, points) of the selected paths, and a summary beside them."""
+
+    def stage(a: DataFrame, c: Settings, _: str) -> DataFrame:
+        shortest = spark.read.parquet(paths_path).where("alt_rank = 1")
+        return R.detours(a.join(shortest.select("route_id"), "route_id", "left_semi"), shortest, threshold)
+
+    done = run_stage(spark, "detours", stage, spark.read.parquet(actual_path), f"{out}/detours", "")
+    if done.status == "FAILED":
+        return [done]
+    row = R.detour_summary(spark.read.parquet(f"{out}/detours")).first().asDict()
+    if not finished(spark, f"{out}/summary"):
+        write_json(spark, row, f"{out}/summary")
+    return [done, StageResult("summary", "SUCCESS", row, 0.0)]

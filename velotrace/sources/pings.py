@@ -57,9 +57,51 @@ def read_raw(spark: SparkSession, path: str, limit: int | None = None) -> DataFr
     return rows.limit(limit) if limit is not None else rows
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = CORE, header: bool = True) -> DataFrame:
-    """Typed, pruned by what is selected; rows that don't fit the schema are dropped."""
-    return spark.read.schema(schema).option("header", header).option("mode", "DROPMALFORMED").csv(path)
+#: Stands for a field that isn't there, where an empty one is.
+ABSENT = "\0absent"
+#: Columns without which a row of pings is none; a bad direction or speed alone is null and keeps the row.
+REQUIRED = ("timestamp", "latitude", "longitude")
+
+
+def typed(text: DataFrame, schema: T.StructType, required: tuple[str, ...]) -> DataFrame:
+    """Text columns in the types of a schema, what can't be read being null; rows whose required columns, or last column,
+    are missing or can't be read are dropped, whatever is selected afterwards."""
+    kinds = {f.name: f.dataType for f in schema.fields}
+
+    def value(name: str) -> Column:
+        kind = kinds[name]
+        if isinstance(kind, T.StringType):
+            return F.col(name)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return parse_number(F.col(name)).cast(kind)
+        return F.when(F.col(name).rlike(r"^\s*[+-]?\d+(\.0*)?\s*$"), F.regexp_replace(F.trim(name), r"\.0*$", "").try_cast(kind))
+
+    fine = F.col(schema.names[-1]).isNotNull()
+    for name in required:
+        fine = fine & value(name).isNotNull()
+    return text.where(F.coalesce(fine, F.lit(False))).select(*[value(n).alias(n) for n in schema.names])
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = CORE, header: bool = True, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """S3: the columns of a schema, by the names of the header, or by place without one; typed, and pruned by what is
+    selected. A file that lacks a column is an error that tells which."""
+    reader = spark.read.option("header", header).option("nullValue", ABSENT)
+    if not header:
+        return typed(reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in schema.names])).csv(path), schema, required)
+    d = reader.csv(path)
+    missing = [n for n in schema.names if n not in d.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {missing}; it has {d.columns}")
+    return typed(d.select(*schema.names), schema, required)
+
+
+def read_positional(spark: SparkSession, path: str, schema: T.StructType = CORE, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """Lines that have exactly as many fields as the schema, by place; a header is a line that can't be read."""
+    names = [*schema.names, "_more"]
+    kind = ", ".join(f"`{n}` string" for n in names)
+    line = F.from_csv(F.col("value"), kind, {"nullValue": ABSENT})
+    d = spark.read.text(path).select(line.alias("f")).where("f._more is null").select("f.*").drop("_more")
+    return typed(d, schema, required)
 
 
 def ordered(df: DataFrame, parts: int | None = None) -> DataFrame:
