@@ -6,8 +6,10 @@
 - Host: how often each language was found by text on the host, smoothed towards its domain, that towards its suffix, and
   that towards all rows. The counts come from grouped aggregation over all rows.
 
-A document is rejected if no language reaches MIN_POSTERIOR, or if its text is less likely under its best language than
-that of any labelled row of the sample by a margin, as noise is.
+Beside the languages stands noise, a text whose trigrams are all equally likely. A document is rejected if no language
+reaches MIN_POSTERIOR against the others and noise. As a language's trigrams share its probability with whatever noise was
+among the labelled rows, noise is hardly ever likelier under it than under noise itself; the model is fitted again without
+labelled rows that are noise by the first fit.
 """
 
 from __future__ import annotations
@@ -24,21 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import blocks
-from .common import held, offsets, ship, written
+from .common import free_name, held, offsets, ship, written
 from .url_filters import host_and_path
 
 BITS = 16
-#: Labelled rows that the model is fitted on at most, and languages that it tells apart at most.
-TRAIN_ROWS, LANGUAGES = 2000, 64
+#: Labelled rows that the model is fitted on at most; it tells as many languages apart as these name.
+TRAIN_ROWS = 2000
 EVIDENCE = 40.0
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.85, 0.75
 #: Weight of the wider level in a host's prior, in documents.
 SMOOTH = 20.0
-MIN_POSTERIOR, MARGIN, ENOUGH = 0.5, 2.5, 50
+#: Least posterior of an accepted document, and the prior of noise.
+MIN_POSTERIOR, NOISE = 0.5, 0.01
 #: Log-likelihoods are whole multiples of 1 / UNIT, so that sums don't depend on their order.
 UNIT = 4096
-#: Hosts whose priors are broadcast; with more, they are joined by a shuffle.
-BROADCAST_HOSTS = 50_000
+#: Bytes of hosts' priors that are broadcast; with more, only hosts with many documents are, the rest is shuffled.
+BROADCAST_BYTES = 16_000_000
 #: Languages of country suffixes. Fixed values.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "ie": "en", "it": "it", "pt": "pt", "nl": "nl"}
 
@@ -50,7 +53,6 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>
 class Model:
     languages: list[str]
     table: np.ndarray  # whole log-likelihoods: language, bucket
-    floor: float  # of the mean, in nats
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,49 +82,75 @@ def score(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def fit(df: DataFrame, text: str, label: str, key: str, rows: int = TRAIN_ROWS) -> Model:
-    """Fitted on the rows whose id has the least hash, at most so many, each over its whole text."""
-    ship(df.sparkSession)
-    labelled = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    cut = labelled.select(F.xxhash64(key).alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if cut is None:
-        return Model([], np.zeros((0, 1 << BITS), np.int32), -math.inf)
-    sample = labelled.where(F.xxhash64(key) <= cut).select(F.lower(F.regexp_extract(label, r"^([A-Za-z]*)", 1)).alias("label"), F.col(text).cast("string").alias("text")).limit(rows)
-    sample = sample.where("label <> ''")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                h, places = trigrams(part.column(1).to_pylist())
-                names, which = np.unique(np.array(part.column(0).to_pylist(), object).astype(str), return_inverse=True)
-                owner = np.repeat(which, np.diff(places))
-                pair, n = np.unique(owner.astype(np.int64) << BITS | h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names[pair >> BITS].tolist(), pa.string()), pa.array((pair & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n)], ["label", "bucket", "n"])
-
-    found = sample.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    got = found.toPandas()  # at most languages * buckets rows
-    languages = sorted(got.groupby("label")["n"].sum().sort_values(ascending=False).index[:LANGUAGES])
-    counts = np.zeros((len(languages), 1 << BITS))
-    for i, name in enumerate(languages):
-        mine = got[got["label"] == name]
-        counts[i, mine["bucket"].to_numpy()] = mine["n"]
+def sample(df: DataFrame, text: str, label: str, key: str, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(id, label, text) of at most so many labelled rows, those with the least hash of key and text, whatever the plan is.
+
+    A share of the hash's range that holds somewhat more is cut out first, so that no task sorts more than that.
+    """
+    d = df.select(F.lower(F.regexp_extract(label, r"^([A-Za-z]*)", 1)).alias("label"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    d = d.where("label <> '' and text is not null")
+    n = d.count()
+    if n > 2 * rows:
+        d = d.where(F.col("h") < int(-(2**63) + 2**64 * (1.5 * rows / n)))
+    # rows that are the same count once
+    d = d.groupBy("h").agg(F.min(F.struct("label", "text")).alias("r")).orderBy("h").limit(rows)
+    return written(d.select(F.col("h").alias("id"), "r.*").repartition(16, "id"), "sample")
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str], list[str]]]:
+    for batch in batches:
+        ids, labels, texts = (c.to_pylist() for c in batch.columns)
+        for a, b in blocks(texts):
+            yield ids[a:b], labels[a:b], texts[a:b]
+
+
+def counted(rows: DataFrame) -> dict[str, np.ndarray]:
+    """How often each label's texts (id, label, text) have a trigram of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, labels, texts in _in_parts(batches):
+            h, at = trigrams(texts)
+            names, which = np.unique(np.array(labels, object).astype(str), return_inverse=True)
+            pair, n = np.unique(np.repeat(which, np.diff(at)).astype(np.int64) << BITS | h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names[pair >> BITS].tolist(), pa.string()), pa.array((pair & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n, pa.int64())], ["label", "bucket", "n"])
+
+    got = rows.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = {}
+    for name, mine in got.groupby("label"):
+        out[name] = np.zeros(1 << BITS, np.int64)
+        out[name][mine["bucket"].to_numpy()] = mine["n"]
+    return out
+
+
+def likelihoods(counts: np.ndarray) -> np.ndarray:
+    """Whole log-likelihoods of the buckets from the counts of each language."""
     smooth = 0.05
     p = (counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * (1 << BITS))
-    model = Model(languages, np.rint(np.log(p) * UNIT).astype(np.int32), -math.inf)
+    return np.rint(np.log(p) * UNIT).astype(np.int32)
+
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = math.inf
+def without_noise(rows: DataFrame, model: Model) -> DataFrame:
+    """The texts (id, label, text) that are likelier in some language than as noise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                s, n = score(batch.slice(at, 64).column(1).to_pylist(), model)
-                mean = s.max(axis=1)[n >= ENOUGH] / n[n >= ENOUGH] / UNIT
-                low = min(low, mean.min(initial=math.inf))
-        if low < math.inf:
-            yield pa.RecordBatch.from_pydict({"low": [float(low)]})
-
-    low = sample.mapInArrow(least, "low double").agg(F.min("low")).first()[0]
-    model.floor = -math.inf if low is None else low - MARGIN
+            s, n = score(batch.column(2).to_pylist(), model)
+            fine = s.max(axis=1) > -n * BITS * math.log(2) * UNIT
+            yield batch.filter(pa.array(fine))
+
+    return rows.mapInArrow(run, "id long, label string, text string")
+
+
+def fit(df: DataFrame, text: str, label: str, key: str, rows: int = TRAIN_ROWS) -> Model:
+    """Fitted on a bounded sample of labelled rows, each over its whole text, and again on those of them that aren't noise.
+    Without labelled rows it knows no language."""
+    ship(df.sparkSession)
+    d, model = sample(df, text, label, key, rows), Model([], np.zeros((0, 1 << BITS), np.int32))
+    for again in (False, True):
+        counts = counted(without_noise(d, model) if again else d)
+        if not counts:
+            break
+        model = Model(sorted(counts), likelihoods(np.stack([counts[x] for x in sorted(counts)])))
     return model
 
 
@@ -140,7 +168,7 @@ def _text_language(model: Model):
 
 
 def priors(df: DataFrame, model: Model, text: str, host: Column) -> tuple[DataFrame, list[float]]:
-    """(host, prior: chance of each language) of every host, and the chances over all rows."""
+    """(host, prior: chance of each language, n: its rows) of every host, and the chances over all rows."""
     found = df.select(host.alias("host"), _text_language(model)(F.col(text)).alias("lang")).where("lang is not null")
     tally = lambda: [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(model.languages)]
     names = [f"n{i}" for i in range(len(model.languages))]
@@ -153,68 +181,97 @@ def priors(df: DataFrame, model: Model, text: str, host: Column) -> tuple[DataFr
     level = lambda col: by_host.groupBy(col).agg(F.array(*[F.sum(x) for x in names]).alias(f"{col}_n"))
     p = level("suffix").select("suffix", smoothed(F.col("suffix_n"), F.array(*map(F.lit, wide))).alias("suffix_p"))
     p = by_host.select("domain", "suffix").distinct().join(level("domain"), "domain").join(p, "suffix").select("domain", smoothed(F.col("domain_n"), F.col("suffix_p")).alias("domain_p"))
-    p = by_host.join(p, "domain").select("host", smoothed(F.array(*names), F.col("domain_p")).alias("prior"))
-    return p, wide
-
-
-def identify(df: DataFrame, model: Model, text: str = "text", declared: Column | None = None, url: Column | None = None, host: Column | None = None) -> DataFrame:
-    """df with the column language: struct of lang, posterior, text_lang and accepted.
+    return by_host.join(p, "domain").select("host", smoothed(F.array(*names), F.col("domain_p")).alias("prior"), sum(map(F.col, names)).alias("n")), wide
+
+
+def fused(score_: np.ndarray, n: np.ndarray, prior: np.ndarray, said: list, suffix: list, model: Model) -> list[dict]:
+    """The language of each text from its scores, its host's prior, and what is declared."""
+    size, code = len(model.languages), {x: i for i, x in enumerate(model.languages)}
+    used = np.minimum(n, EVIDENCE)
+    log = score_ / np.maximum(n, 1)[:, None] / UNIT * used[:, None] + np.log(prior * (1 - NOISE))
+    noise = -used * BITS * math.log(2) + math.log(NOISE)
+    for column, right in ((said, DECLARED_RIGHT), (suffix, SUFFIX_RIGHT)):
+        i = np.array([code.get(x, -1) for x in column], np.int64)
+        told = np.flatnonzero(i >= 0)
+        wrong = math.log((1 - right) / max(size - 1, 1))
+        log[told] += wrong
+        log[told, i[told]] += math.log(right) - wrong
+        noise[told] -= math.log(size)  # noise declares any language
+    every = np.column_stack([log, noise])
+    every -= every.max(axis=1, keepdims=True)
+    post = np.exp(every) / np.exp(every).sum(axis=1, keepdims=True)
+    top = log.argmax(axis=1)
+    best = post[np.arange(len(top)), top]
+    fine, own = (n > 0) & (best >= MIN_POSTERIOR), score_.argmax(axis=1)
+    return [{"lang": model.languages[i], "posterior": round(float(p), 6), "text_lang": model.languages[j] if m else None, "accepted": bool(a)} for i, p, j, m, a in zip(top, best, own, n, fine)]
+
+
+def identify(df: DataFrame, model: Model, text: str = "text", declared: Column | None = None, url: Column | None = None, host: Column | None = None, into: str = "language") -> DataFrame:
+    """df with one more column, language: struct of lang, posterior, text_lang and accepted. Where that name is taken,
+    underscores are added to it until it is free.
 
     Evidence that is null or names no language of the model says nothing. Without any evidence a document has the prior
-    of its host; a null or empty text isn't accepted. With no labelled row to fit on, lang is null and nothing is
-    accepted. All columns and rows are kept; names must not begin with an underscore or be language.
+    of its host; a null or empty text isn't accepted. Repeated rows have equal results. With no labelled row to fit on,
+    lang is null and nothing is accepted. All columns, whatever they are called, and rows are kept; an empty table stays
+    empty.
     """
     ship(df.sparkSession)
+    into = free_name(df, into)
     nothing = F.lit(None).cast("string")
     if url is not None and host is None:
         host = host_and_path(url)[0]
-    host = F.coalesce(host, F.lit("")) if host is not None else F.lit("")
+    host = F.coalesce(host.cast("string"), F.lit("")) if host is not None else F.lit("")
     mapped = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])
     suffix = F.element_at(mapped, F.substring_index(host, ".", -1)) if url is not None else nothing
     said = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]+)", 1)) if declared is not None else nothing
-    size = len(model.languages)
-    code = {x: i for i, x in enumerate(model.languages)}
+    if not model.languages:
+        return df.withColumn(into, F.struct(nothing.alias("lang"), F.lit(None).cast("double").alias("posterior"), nothing.alias("text_lang"), F.lit(False).alias("accepted")))
 
     @F.arrow_udf("struct<lang:string,posterior:double,text_lang:string,accepted:boolean>")
     def fuse(texts: pa.Array, said: pa.Array, suffix: pa.Array, prior: pa.Array) -> pa.Array:
         out = []
         for at in range(0, len(texts), 256):
             t = [x or "" for x in texts.slice(at, 256).to_pylist()]
-            s, n = score(t, model)
-            mean = s / np.maximum(n, 1)[:, None] / UNIT
-            log = mean * np.minimum(n, EVIDENCE)[:, None] + np.log(np.array(prior.slice(at, 256).to_pylist()))
-            for column, right in ((said, DECLARED_RIGHT), (suffix, SUFFIX_RIGHT)):
-                i = np.array([code.get(x, -1) for x in column.slice(at, 256).to_pylist()])
-                told = np.flatnonzero(i >= 0)
-                log[told] += math.log((1 - right) / max(size - 1, 1))
-                log[told, i[told]] += math.log(right) - math.log((1 - right) / max(size - 1, 1))
-            log -= log.max(axis=1, keepdims=True)
-            post = np.exp(log) / np.exp(log).sum(axis=1, keepdims=True)
-            top = post.argmax(axis=1)
-            best = post[np.arange(len(top)), top]
-            fine = (n > 0) & (best >= MIN_POSTERIOR) & ((n < ENOUGH) | (mean.max(axis=1) >= model.floor))
-            own = s.argmax(axis=1)
-            out += [{"lang": model.languages[i], "posterior": round(float(p), 6), "text_lang": model.languages[j] if m else None, "accepted": bool(a)} for i, p, j, m, a in zip(top, best, own, n, fine)]
+            out += fused(*score(t, model), np.array(prior.slice(at, 256).to_pylist()), said.slice(at, 256).to_pylist(), suffix.slice(at, 256).to_pylist(), model)
         return pa.array(out, pa.struct([("lang", pa.string()), ("posterior", pa.float64()), ("text_lang", pa.string()), ("accepted", pa.bool_())]))
 
-    if not size:
-        return df.withColumn("language", F.struct(nothing.alias("lang"), F.lit(None).cast("double").alias("posterior"), nothing.alias("text_lang"), F.lit(False).alias("accepted")))
-    table, wide = priors(df, model, text, host)
-    table = table.select(F.col("host").alias("_host"), F.col("prior").alias("_prior"))
-    d = df.withColumns({"_at": host, "_said": said, "_suffix": suffix})
-    d = d.join(F.broadcast(table) if table.count() <= BROADCAST_HOSTS else table, d["_at"] == table["_host"], "left")
-    prior = F.coalesce("_prior", F.array(*map(F.lit, wide)))
-    return d.withColumn("language", fuse(F.col(text), F.col("_said"), F.col("_suffix"), prior)).drop("_at", "_said", "_suffix", "_host", "_prior")
+    # all of df's columns travel as one, so that none of their names can be met
+    d = df.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"), host.alias("at"), said.alias("said"), suffix.alias("suffix"))
+    table, wide = priors(d, model, "text", F.col("at"))
+    d = with_priors(d, table, len(model.languages))
+    prior = F.coalesce("prior", F.array(*map(F.lit, wide)))
+    return d.select("row.*", fuse(F.col("text"), F.col("said"), F.col("suffix"), prior).alias(into))
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """identify() for documents: lang is both the label to fit on and what a document declares, source is its host."""
-    return identify(docs, fit(docs, "text", "lang", "doc_id"), declared=F.col("lang"), host=F.col("source"))
+def with_priors(d: DataFrame, table: DataFrame, languages: int) -> DataFrame:
+    """d, which has a host in the column at, with its prior.
+
+    All hosts are broadcast if they are few. Else those that have so many rows that there can't be many of them are, and
+    only rows of the others are dealt out by host, none of which can be hot then.
+    """
+    table = written(table, "priors")
+    most = max(1, BROADCAST_BYTES // (8 * languages + 100))
+    if table.count() <= most:
+        return d.join(F.broadcast(table.select("host", "prior")), d["at"] == F.col("host"), "left").drop("host")
+    total = table.agg(F.sum("n")).first()[0]
+    hot = table.where(F.col("n") * most >= total).select("host", F.col("prior").alias("hot"))  # at most so many
+    d = d.join(F.broadcast(hot), d["at"] == hot["host"], "left").drop("host")
+    # rows that have their prior are dealt out by their texts, under a name that no host has
+    d = d.withColumn("by", F.when(F.col("hot").isNull(), F.col("at")).otherwise(F.concat(F.lit("\0"), F.coalesce(F.xxhash64("text"), F.lit(0)).cast("string"))))
+    rest = table.where(F.col("n") * most < total).select("host", "prior")
+    d = d.join(rest, d["by"] == rest["host"], "left")
+    return d.withColumn("prior", F.coalesce("hot", "prior")).drop("host", "hot", "by")
+
+
+def documents(docs: DataFrame, into: str = "language") -> DataFrame:
+    """identify() for documents (doc_id, text, lang, source): lang is the label to fit on and what a document declares,
+    source is its host. Null, empty and repeated rows, extra columns and empty tables as there."""
+    return identify(docs, fit(docs, "text", "lang", "doc_id"), declared=F.col("lang"), host=F.col("source"), into=into)
 
 
 def pages(df: DataFrame, docs: DataFrame) -> DataFrame:
     """identify() for pages (page_id, url, html), fitted on documents: the html tag's lang is what a page declares, its url
-    gives suffix and host."""
+    gives suffix and host. A null page has no text and isn't accepted; columns beyond the three are left out."""
 
     @F.arrow_udf("string")
     def text(found: pa.Array) -> pa.Array:
