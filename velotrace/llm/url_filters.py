@@ -49,7 +49,7 @@ def turned_column(host: Column) -> Column:
 
 def sweep(batches: Iterator[pd.DataFrame], default: str) -> Iterator[pd.DataFrame]:
     """Pages and rules in key order: which rule each page meets."""
-    stack: list[tuple[str, str, list[tuple[str, str, str]]]] = []  # key, host, its (path, action, rule), longest path first
+    stack: list[tuple[str, str, list[tuple[str, str, str]]]] = []  # key, host, its (path, action, rule)
     part = None
     for b in batches:
         out = []
@@ -62,19 +62,43 @@ def sweep(batches: Iterator[pd.DataFrame], default: str) -> Iterator[pd.DataFram
                 if not stack or stack[-1][0] != key:
                     stack.append((key, host, []))
                 stack[-1][2].append((path, action, host + path))
-                stack[-1][2].sort(key=lambda r: (-len(r[0]), r))
                 continue
-            hit = next((r for _, _, rules in reversed(stack) for r in rules if path.startswith(r[0])), None)
+            # the longest rule as a whole, wherever on the stack it lies; of equal ones the deepest host's
+            fit = (r for _, _, rules in stack for r in rules if path.startswith(r[0]))
+            hit = min(fit, key=lambda r: (-len(r[2]), len(r[0]), r), default=None)
             out.append((page, host, path, hit[2] if hit else None, hit[1] if hit else default))
         if out:
             yield pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"])
 
 
+def boundaries(p: DataFrame, n: int) -> list[str]:
+    """Where to cut the keys skey into n ranges: a uniform draw of bounded size by a hash, each key weighed by its rows.
+
+    A share of the hash's range is cut out in every task, so no task hands on more than its part. Boundaries change
+    no result.
+    """
+    if n < 2:
+        return []
+    rows = p.count()
+    d = p.select("skey", F.xxhash64("skey", F.lit(11)).alias("h"))
+    if rows > 2 * n * SAMPLE:
+        d = d.where(F.col("h") < int(-(2**63) + 2**64 * (n * SAMPLE / rows)))
+    drawn = d.groupBy("skey").agg(F.count(F.lit(1)).alias("c")).limit(4 * n * SAMPLE).collect()
+    keys = sorted((r[0], r[1]) for r in drawn)
+    total, before, out = sum(c for _, c in keys), 0, set()
+    for key, c in keys:
+        # a key starts a range where the rows before it have filled one
+        if before * n // max(total, 1) != (before + c) * n // max(total, 1):
+            out.add(key)
+        before += c
+    return sorted(out)[1 - n :]
+
+
 def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = DEFAULT, ranges: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict), a row for each page.
 
     rules: (action, host, path); a rule fits its host and all subdomains if the page's path starts with the rule's.
-    The deepest host wins, then the longest path; of equal rules the first by action. Pages with a null or odd url have
+    The longest rule, host and path together, wins; of equally long ones the deepest host's, then the first by action. Pages with a null or odd url have
     an empty host and path and meet only rules for the empty host. Repeated pages and null ids are kept; an empty table
     gives no rows. Columns of pages beyond the two named are left out.
     """
@@ -85,9 +109,7 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     p = p.withColumn("tkey", turned_column(F.col("host")))
     p = p.withColumn("skey", F.concat_ws("\x00", "tkey", "path", F.coalesce(F.lpad(F.col("page_id").cast("string"), 20, "0"), F.lit(""))))
     n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # the n * SAMPLE smallest of a keyed hash: a bounded uniform draw, only for where to cut
-    drawn = sorted(r[0] for r in p.select("skey").orderBy(F.xxhash64("skey", F.lit(11))).limit(n * SAMPLE).collect()) if n > 1 else []
-    cuts = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
+    cuts = boundaries(p, n)
 
     @F.pandas_udf("int")
     def range_of(keys: pd.Series) -> pd.Series:
