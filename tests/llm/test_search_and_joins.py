@@ -8,10 +8,10 @@ from velotrace.llm import jaccard, knn
 from velotrace.llm.common import components
 
 
-@pytest.mark.parametrize("queries,chunk", [(256, 8192), (2, 16)])
-def test_top_k_against_all_pairs(spark, monkeypatch, queries, chunk):
-    monkeypatch.setattr(knn, "QUERIES", queries)
-    monkeypatch.setattr(knn, "CHUNK", chunk)
+@pytest.mark.parametrize("queries,chunk,scored,enough", [(4096, 1 << 20, 256, 8), (2, 96, 4, 1)])
+def test_top_k_against_all_pairs(spark, monkeypatch, queries, chunk, scored, enough):
+    for name, value in (("QUERIES", queries), ("CHUNK", chunk), ("SCORED", scored), ("ENOUGH", enough)):
+        monkeypatch.setattr(knn, name, value)
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(300, 6)).astype(np.float32)
     vectors[100:160] = vectors[100]  # a common vector, so scores tie
@@ -37,7 +37,34 @@ def test_few_or_no_vectors(spark):
 
 def test_large_numbers_are_exact():
     q, x = np.array([[2**40, 3]]), np.array([[2**20, 5], [1, 2**61]])
-    assert knn.scores(q, x).tolist() == [[2**60 + 15, (2**40 + 3 * 2**61) % 2**64 - (2**64 if (2**40 + 3 * 2**61) % 2**64 >= 2**63 else 0)]]
+    assert knn.scores(q, x).tolist() == [[2**60 + 15, 2**40 + 3 * 2**61]]
+    with pytest.raises(OverflowError):
+        knn.scores(np.array([[2**40, 3]]), np.array([[2**40, 3]]))
+
+
+def test_repeated_ids_lose_no_neighbour(spark):
+    """Many rows under a query's own id lie nearest to it; others must still be found."""
+    rows = [(0, [10.0, 0.0])] * 30 + [(0, [9.9, 0.1])] * 30 + [(i, [9.0 - i / 100, float(i % 3)]) for i in range(1, 40)] + [(i, [-5.0, float(i)]) for i in range(40, 90)]
+    got = [tuple(r) for r in knn.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()]
+    whole = [(i, np.floor(1024 * np.array(v))) for i, v in rows]
+    both = {tuple(v) for i, v in whole if i == 0}
+    want = sorted((-int(np.array(q) @ x), i) for q in both for i, x in whole if i != 0)[:10]
+    assert sorted(got) == [(0, r, i, -s) for r, (s, i) in enumerate(want, 1)]
+
+
+def test_clustered_vectors_are_searched_in_few_cells(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 8)) * 10
+    vectors = (centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 8)) * 0.1).astype(np.float32)
+    d = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(4)
+    sent = []
+    monkeypatch.setattr(knn, "met", lambda placed, routed, c, k, met=knn.met: sent.append((routed.count(), int((c.rows > 0).sum()))) or met(placed, routed, c, k))
+    got = sorted(tuple(r) for r in knn.search(d).collect())
+    assert sum(n for n, _ in sent) < 0.5 * 40 * sent[0][1]  # of 40 queries and all cells
+    whole = np.floor(1024 * vectors.astype(np.float64))
+    for q in range(0, 4000, 100):
+        want = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:10]
+        assert [(i, s) for x, _, i, s in got if x == q] == [(i, -s) for s, i in want]
 
 
 def plain_components(texts, words=3, num=90):

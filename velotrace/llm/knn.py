@@ -4,18 +4,24 @@ Vectors are whole numbers, floor(scale * x). Inner products become distances by
 squared length of any vector, data x become (x, sqrt(M - |x|^2)) and queries q become (q, 0), so that
 |x' - q'|^2 = M + |q|^2 - 2 <x, q>, and the highest scores are the nearest neighbours.
 
-1. Pivots are drawn from the data; every vector goes to its nearest pivot's cell.
-2. Summaries of the cells (the k + 1 least distances to the pivot, the greatest distance of a query) bound how far off
-   the k-th neighbour of any query of a cell can be.
-3. Neighbouring cells form groups of a bounded number of queries. A vector is sent to a group only if, by the triangle
-   inequality, it may lie within the bound of one of its cells.
-4. What a group gets is dealt into chunks; each chunk meets the group's queries and keeps the k best of each, and the
-   best of all chunks remain.
+1. Pivots are drawn from the data, about the root of its number; queries and data go to their nearest pivot's cell.
+2. Summaries of the cells (rows, least and greatest distance to the pivot) bound how near to a query any vector of a cell
+   can be: by the triangle inequality, and as a cell's vectors lie on its pivot's side of the plane between two pivots.
+3. Each query is answered in the nearest cells that hold enough rows, which bounds its k-th neighbour, and then goes only
+   to the cells that the bounds leave. Queries are a hundredth of the rows, so it is they that are replicated; each vector
+   is dealt out once for as many queries as a task takes.
+4. Cells are cut into chunks and their queries into parts of a bounded size; a chunk keeps the k best of each query it
+   meets, and the best of all chunks remain.
+
+Where no cell can be left out, as with vectors that are all about equally far from one another, this is a search of all
+rows in blocks, with each vector dealt out twice.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,12 +33,15 @@ from pyspark.sql.functions import pandas_udf
 from .common import ship, written
 
 SCALE, TOP, EVERY = 1024, 10, 100
-#: Pivots, which the driver and every task hold.
-PIVOTS = 64
-#: Queries that are searched together, and vectors of a chunk.
-QUERIES, CHUNK = 256, 8192
+#: Pivots, which the driver and every task hold, at most: by number and by bytes.
+PIVOTS, PIVOT_BYTES = 4096, 16_000_000
+#: Rows that the cells of a query's first search hold, as a multiple of k.
+ENOUGH = 8
+#: Queries of a part, whole numbers of a chunk of vectors, and queries that are scored at a time.
+QUERIES, CHUNK, SCORED = 4096, 1 << 20, 256
 #: Room for rounding in distances, relative.
 SLACK = 1e-9
+LARGEST = 2.0**63
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -48,12 +57,17 @@ def unpacked(b: bytes) -> np.ndarray:
 
 def whole_numbers(df: DataFrame, scale: int, key: str, vector: str) -> DataFrame:
     """(vec_id, v): vectors as packed whole numbers; those that are null or hold null, NaN or infinite components are left
-    out, and so are rows without an id."""
+    out, and so are rows without an id. A component whose whole number doesn't fit a long is an error."""
 
     @pandas_udf("binary")
     def floor(batch: pd.Series) -> pd.Series:
-        # beyond 2 ** 53 components are taken as they are rounded to fit
-        return pd.Series([packed(np.clip(np.floor(np.asarray(x, np.float64) * scale), -(2.0**62), 2.0**62).astype(np.int64)) for x in batch])
+        out = []
+        for x in batch:
+            whole = np.floor(np.asarray(x, np.float64) * scale)
+            if np.abs(whole).max(initial=0) >= LARGEST:
+                raise OverflowError(f"a component times {scale} does not fit a long")
+            out.append(packed(whole.astype(np.int64)))
+        return pd.Series(out)
 
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("_x")).where("vec_id is not null and _x is not null")
     odd = F.exists("_x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -72,11 +86,17 @@ def _matrix(blobs, width: int) -> np.ndarray:
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products, exactly: as floats where no sum can leave the whole numbers that those hold."""
+    """Inner products, exactly: as floats where no sum can leave the whole numbers that those hold, as longs where none
+    can leave those, else as numbers of any size. A score that doesn't fit a long is an error."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
     if most < 2.0**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T  # 64-bit arithmetic
+    if most < LARGEST / 2:
+        return q @ x.T
+    exact = q.astype(object) @ x.T.astype(object)
+    if exact.size and (exact.max() >= 1 << 63 or exact.min() < -(1 << 63)):
+        raise OverflowError("a score does not fit a long")
+    return exact.astype(np.int64)
 
 
 def best(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,141 +117,176 @@ def best(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[n
     return row, ids[at], score[row, at]
 
 
-def search(df: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCALE, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id is divisible by every, its k highest inner products with
-    other rows, all if they are fewer, ties to the smaller id.
+@dataclass
+class Cells:
+    """The pivots, with the coordinate that turns products into distances, and a summary of each cell."""
 
-    Null vectors and those with null or non-finite components take no part, nor do rows without an id; a shorter vector
-    has zeros where it ends; an empty vector scores 0. A repeated row is a candidate once for each time it is there,
-    but not for its own id. Other columns are left out; an empty table gives no rows.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    schema = "query_id long, rank int, vec_id long, score long"
-    data = written(whole_numbers(df, scale, key, vector), "vectors")
+    width: int
+    top: float
+    pivots: np.ndarray
+    rows: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+
+    def lifted(self, blobs, query: bool) -> np.ndarray:
+        """Vectors with one more coordinate."""
+        x = _matrix(blobs, self.width).astype(np.float64)
+        return np.hstack([x, (np.zeros(len(x)) if query else np.sqrt(np.maximum(self.top - np.square(x).sum(1), 0)))[:, None]])
+
+    def away(self, x: np.ndarray) -> np.ndarray:
+        """Distances of lifted vectors to all pivots."""
+        p = self.pivots
+        return np.sqrt(np.maximum(np.square(x).sum(1)[:, None] + np.square(p).sum(1)[None, :] - 2 * x @ p.T, 0))
+
+    def most(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each lifted query the distances to all pivots and the highest score that a vector of each cell can have;
+        none for empty cells."""
+        d = self.away(x)
+        own = d.argmin(axis=1)
+        between = self.away(self.pivots)[own]
+        mine = d[np.arange(len(x)), own][:, None]
+        side = np.divide(np.square(d) - np.square(mine), 2 * between, out=np.zeros_like(d), where=between > 0)
+        least = np.maximum.reduce([d - self.far[None, :], self.near[None, :] - d, side, np.zeros_like(d)])
+        room = SLACK * 4 * np.sqrt(max(self.top, 1.0)) + 1e-6
+        score = (self.top + np.square(x).sum(1)[:, None] - np.square(np.maximum(least - room, 0))) / 2
+        score += SLACK * (self.top + np.abs(score)) + 1
+        score[:, self.rows == 0] = -np.inf
+        return d, score
+
+
+def draw(data: DataFrame, n: int, number: int) -> list[bytes]:
+    """At most so many distinct vectors, those with the least hash; a share of the hash's range that holds somewhat more
+    is cut out first. Any pivots give the same result."""
+    d = data.select("v", F.xxhash64("v").alias("h"))
+    if n > 4 * number:
+        d = d.where(F.col("h") < int(-(2**63) + 2**64 * (2.0 * number / n)))
+    got = [bytes(r[0]) for r in d.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(number).select("v").collect()]
+    return got or [bytes(r[0]) for r in data.select("v").limit(1).collect()]
+
+
+def summed(data: DataFrame, pivots: int) -> tuple[DataFrame, Cells] | None:
+    """data with each vector's cell, written, and the cells; None if there is no vector."""
 
     @pandas_udf("double")
     def square(v: pd.Series) -> pd.Series:
         return pd.Series([float(np.square(unpacked(b).astype(np.float64)).sum()) for b in v])
 
     size = (F.octet_length("v") - 1) / F.substring("v", 1, 1).cast("string").cast("int")
-    width, top = data.agg(F.max(size.cast("int")), F.max(square("v"))).first()
-    if width is None:
-        return spark.createDataFrame([], schema)
-    # a bounded draw by a hash of the id; any pivots give the same result
-    drawn = data.select("v").dropDuplicates().orderBy(F.xxhash64("v")).limit(pivots).collect()
-    p = _matrix([r[0] for r in drawn], width).astype(np.float64)
-    p = np.hstack([p, np.sqrt(np.maximum(top - np.square(p).sum(axis=1), 0))[:, None]])
-    between = np.sqrt(np.maximum(np.square(p).sum(1)[:, None] + np.square(p).sum(1)[None, :] - 2 * p @ p.T, 0))
-    unit = np.sqrt(max(top, 1.0)) * 4
-
-    def away(x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(np.square(x).sum(1)[:, None] + np.square(p).sum(1)[None, :] - 2 * x @ p.T, 0))
+    n, width, top = data.agg(F.count(F.lit(1)), F.max(size.cast("int")), F.max(square("v"))).first()
+    if not n:
+        return None
+    number = max(1, min(pivots, PIVOT_BYTES // (8 * (width + 1)), math.ceil(math.sqrt(n))))
+    drawn = draw(data, n, number)
+    c = Cells(width, top, np.zeros((0, width + 1)), *[np.zeros(len(drawn))] * 3)
+    c.pivots = c.lifted(drawn, False)
 
-    def cells(query: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = _matrix(b.column(1).to_pylist(), width).astype(np.float64)
-                last = np.zeros(len(x)) if query else np.sqrt(np.maximum(top - np.square(x).sum(1), 0))
-                d = away(np.hstack([x, last[:, None]]))
-                cell = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell])], ["vec_id", "v", "cell", "away"])
-
-        return run
-
-    kind = "vec_id long, v binary, cell int, away double"
-    placed = written(data.mapInArrow(cells(False), kind), "placed")
-    # many queries of a cell are searched in parts; how many parts follows from their number
-    asked = data.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).mapInArrow(cells(True), kind)
-    per = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("queries"))
-    asked = asked.join(per, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("queries") / QUERIES)).cast("int"))
-    asked = written(asked.drop("queries"), "queries")
-
-    least = _least_by_cell(placed, k + 1)
-    farthest = {(r[0], r[1]): (r[2], r[3]) for r in asked.groupBy("cell", "part").agg(F.max("away"), F.count(F.lit(1))).collect()}
-    if not farthest:
-        return spark.createDataFrame([], schema)
-    parts = _chain(list(farthest), between)
-    eps = SLACK * unit + 1e-6
-    bound = []
-    for cell, part in parts:
-        upper = np.sort(np.concatenate([between[cell, j] + farthest[cell, part][0] + np.array(d) for j, d in least.items()]))
-        bound.append(upper[k] + eps if len(upper) > k else np.inf)  # k + 1 of them, as a query may meet itself
-    bound, far, of = np.array(bound), np.array([farthest[x][0] for x in parts]), np.array([c for c, _ in parts])
-    # neighbouring cells are searched together as long as their queries are few
-    group = (np.cumsum([farthest[x][1] for x in parts]) - 1) // QUERIES
-    groups = int(group[-1]) + 1
-
-    def needed(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        """Vectors and the groups that need them."""
-        for at in range(0, b.num_rows, CHUNK):
-            s = b.slice(at, CHUNK)
-            x = _matrix(s.column(1).to_pylist(), width).astype(np.float64)
-            d = away(np.hstack([x, np.sqrt(np.maximum(top - np.square(x).sum(1), 0))[:, None]]))
-            # |x q| >= |x p| - |q p| for the query's pivot p
-            want = np.zeros((len(x), groups), bool)
-            row, j = np.nonzero(d[:, of] - far[None, :] <= bound[None, :])
-            want[row, group[j]] = True
-            yield s, *np.nonzero(want)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(groups, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, g in needed(b):
-                total += np.bincount(g, minlength=groups)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["target", "n"])
+            d = c.away(c.lifted(b.column(1).to_pylist(), False))
+            cell = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])], ["vec_id", "v", "row", "cell", "away"])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s, row, g in needed(b):
-                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), s.column(0).take(pa.array(row)), s.column(1).take(pa.array(row))], ["target", "vec_id", "v"])
-
-    rows = placed.select("vec_id", "v")
-    held = {r[0]: r[1] for r in rows.mapInArrow(count, "target int, n long").groupBy("target").agg(F.sum("n")).collect()}
-    chunks = F.array(*[F.lit(max(1, -(-held.get(g, 0) // CHUNK))) for g in range(groups)])
-    many = F.element_at(chunks, F.col("target") + 1)
-    sent = rows.mapInArrow(send, "target int, vec_id long, v binary").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), many).cast("int"))
-    number = F.create_map(*[F.lit(x) for g, (c, q) in zip(group.tolist(), parts) for x in (f"{c}:{q}", g)])
-    asked = asked.select(F.element_at(number, F.concat_ws(":", "cell", "part")).cast("int").alias("target"), F.col("vec_id").alias("query_id"), F.col("v"))
-    # a group's queries, of a bounded number, go to each of its chunks
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
+    placed = written(data.mapInArrow(run, "vec_id long, v binary, row long, cell int, away double"), "placed")
+    c.rows, c.near, c.far = (np.zeros(len(drawn)) for _ in range(3))
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)), F.min("away"), F.max("away")).collect():  # a row a pivot
+        c.rows[r[0]], c.near[r[0]], c.far[r[0]] = r[1:]
+    return placed, c
 
-    def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or x.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        own, ids = q["query_id"].to_numpy(np.int64), x["vec_id"].to_numpy(np.int64)
-        row, vec, score = best(scores(_matrix(q["v"], width), _matrix(x["v"], width)), ids, own, k)
-        return pd.DataFrame({"query_id": own[row], "vec_id": vec, "score": score})
 
-    local = asked.groupBy("target", "chunk").cogroup(sent.groupBy("target", "chunk")).applyInPandas(solve, "query_id long, vec_id long, score long")
-    return ranked(local, k)
+def first_cells(asked: DataFrame, c: Cells, k: int) -> DataFrame:
+    """(query_id, v, cell): the nearest cells of each query that hold enough rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SCORED):
+                s = b.slice(at, SCORED)
+                d, _ = c.most(c.lifted(s.column(1).to_pylist(), True))
+                d[:, c.rows == 0] = np.inf
+                order = np.argsort(d, axis=1, kind="stable")
+                before = np.cumsum(c.rows[order], axis=1) - c.rows[order]
+                row, place = np.nonzero((before < ENOUGH * k) & (c.rows[order] > 0))
+                yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(row)), s.column(1).take(pa.array(row)), pa.array(order[row, place].astype(np.int32))], ["query_id", "v", "cell"])
 
-def _chain(parts: list[tuple[int, int]], between: np.ndarray) -> list[tuple[int, int]]:
-    """Parts in an order where each is followed by the nearest that is left."""
-    left, out = sorted(parts), []
-    while left:
-        i = min(range(len(left)), key=lambda j: (between[out[-1][0], left[j][0]], left[j])) if out else 0
-        out.append(left.pop(i))
-    return out
+    return asked.mapInArrow(run, "query_id long, v binary, cell int")
 
 
-def _least_by_cell(placed: DataFrame, k: int) -> dict[int, list[float]]:
-    """The k least distances to the pivot of each cell; each task hands on k of its own."""
+def other_cells(asked: DataFrame, c: Cells, k: int) -> DataFrame:
+    """(query_id, v, cell) of the cells that may hold a better one than what a query (query_id, v, least: the score to
+    beat, or null; cells: those that it has been to) has found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
         for b in batches:
-            cell, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for c in np.unique(cell).tolist():
-                held[c] = np.sort(np.concatenate([held.get(c, np.zeros(0)), d[cell == c]]))[:k]
-        for c, d in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), c, np.int32)), pa.array(d)], ["cell", "away"])
-
-    local = placed.select("cell", "away").mapInArrow(run, "cell int, away double")
-    found = local.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("away")), 1, k).alias("d"))
-    return {r[0]: list(r[1]) for r in found.collect()}
+            for at in range(0, b.num_rows, SCORED):
+                s = b.slice(at, SCORED)
+                _, most = c.most(c.lifted(s.column(1).to_pylist(), True))
+                least = np.array([-np.inf if x is None else float(x) for x in s.column(2).to_pylist()])
+                want = (most >= least[:, None]) & (c.rows > 0)[None, :]
+                for i, been in enumerate(s.column(3).to_pylist()):
+                    want[i, been or []] = False
+                row, cell = np.nonzero(want)
+                yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(row)), s.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32))], ["query_id", "v", "cell"])
+
+    return asked.mapInArrow(run, "query_id long, v binary, cell int")
+
+
+def met(placed: DataFrame, routed: DataFrame, c: Cells, k: int) -> DataFrame:
+    """(query_id, v, vec_id, score): the k best of each query in each chunk of the cells that it is sent to.
+
+    routed must be a written table. Neither side of a task is larger than a chunk or a part, whatever a cell holds.
+    """
+    spark = placed.sparkSession
+    per_chunk = max(SCORED, CHUNK // max(c.width, 1))
+    asks = {r[0]: r[1] for r in routed.groupBy("cell").count().collect()}  # a row a pivot at most
+    sizes = [(i, max(1, math.ceil(c.rows[i] / per_chunk)), math.ceil(n / QUERIES)) for i, n in sorted(asks.items())]
+    cells = F.broadcast(spark.createDataFrame(sizes, "cell int, chunks int, parts int"))  # likewise
+    x = placed.join(cells, "cell").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    x = x.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "chunk", "part", "vec_id", "v")
+    q = routed.join(cells, "cell").withColumn("part", F.pmod(F.xxhash64("query_id", "v"), F.col("parts")).cast("int"))
+    q = q.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "chunk", "part", "query_id", "v")
+    width = c.width
+
+    def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or x.empty:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "v": [], "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+        ids, vectors, out = x["vec_id"].to_numpy(np.int64), _matrix(x["v"], width), []
+        for at in range(0, len(q), SCORED):
+            some = q.iloc[at : at + SCORED]
+            own = some["query_id"].to_numpy(np.int64)
+            row, vec, score = best(scores(_matrix(some["v"], width), vectors), ids, own, k)
+            out.append(pd.DataFrame({"query_id": own[row], "v": some["v"].to_numpy()[row], "vec_id": vec, "score": score}))
+        return pd.concat(out)
+
+    keys = ["cell", "chunk", "part"]
+    return q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(solve, "query_id long, v binary, vec_id long, score long")
+
+
+def search(df: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCALE, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by every, its k highest inner products with
+    other rows, all if they are fewer, ties to the smaller id.
+
+    Null vectors and those with null or non-finite components take no part, nor do rows without an id; a shorter vector
+    has zeros where it ends; an empty vector scores 0. A repeated row is a candidate once for each time it is there,
+    but not for its own id; as a query it counts once, and rows that share an id but not a vector are one query that
+    scores by each of them. Other columns are left out; an empty table gives no rows. A whole number or score that doesn't
+    fit a long is an error.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    data = written(whole_numbers(df, scale, key, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    found = summed(data, pivots)
+    asked = written(data.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").distinct(), "queries")
+    if found is None or asked.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    placed, c = found
+    begun = written(first_cells(asked, c, k), "routes")
+    first = written(met(placed, begun, c, k), "answers")
+    # of k answers in the cells it has been to, the least is what a query has to beat
+    place = F.row_number().over(Window.partitionBy("query_id", "v").orderBy(F.desc("score")))
+    least = first.withColumn("_n", place).where(F.col("_n") == k).select("query_id", "v", F.col("score").alias("least"))
+    been = begun.groupBy("query_id", "v").agg(F.collect_list("cell").alias("cells"))
+    rest = asked.join(least, ["query_id", "v"], "left").join(been, ["query_id", "v"], "left").select("query_id", "v", "least", "cells")
+    routed = written(other_cells(rest, c, k), "routes")
+    return ranked(first.unionAll(met(placed, routed, c, k)).drop("v"), k)
 
 
 def ranked(local: DataFrame, k: int) -> DataFrame:
