@@ -87,6 +87,16 @@ def snapped(trips: DataFrame, segments: DataFrame, c: Settings = DEFAULT) -> Dat
     return trips
 
 
+def doors(place: Column, leaving: bool) -> Column:
+    """The crossings by which a place on a segment is left or reached, as its direction allows, with the metres between
+    them: an array of (node, metres)."""
+    rest = F.hypot(place["x2"] - place["x1"], place["y2"] - place["y1"]) - place["position"]
+    u = F.struct(node_key(place["x1"], place["y1"]).alias("node"), place["position"].alias("metres"))
+    v = F.struct(node_key(place["x2"], place["y2"]).alias("node"), rest.alias("metres"))
+    along, against = (v, u) if leaving else (u, v)
+    return F.when(place["oneway"] == "B", F.array(along, against)).when(place["oneway"] == "F", F.array(along)).when(place["oneway"] == "T", F.array(against))
+
+
 def direct_metres(s: Column, e: Column) -> Column:
     """The length of the way from one place to another on the same segment, null if they lie on different ones, are
     the same place, or the way is against the segment's direction."""

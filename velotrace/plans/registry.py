@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import network, relational, spatial, storage, trajectory  # noqa: F401
+    from . import network, relational, singles, spatial, storage, trajectory  # noqa: F401
 
 
 load()
