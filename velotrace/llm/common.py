@@ -6,14 +6,13 @@ import contextlib
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
-import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import discard, fresh_path, shared_dir, written  # noqa: F401
+
 #: Rows that go to a Python worker at a time.
 BATCH_ROWS = 1000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -25,6 +24,9 @@ def ship(spark: SparkSession) -> None:
     Rows here hold whole documents, so the default of ten thousand rows a batch would be tens of megabytes many times.
     """
     env = spark.sparkContext.environment
+    # workers give memory back to the machine: one arena, and Arrow's buffers from it too; one thread each, as tasks are many
+    for name, value in (("MALLOC_ARENA_MAX", "1"), ("ARROW_DEFAULT_MEMORY_POOL", "system"), ("OPENBLAS_NUM_THREADS", "1")):
+        env.setdefault(name, value)
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [have, ROOT]))
@@ -52,15 +54,6 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="velotrace-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores added until no column of df has it, in whatever case."""
     taken = {c.lower() for c in df.columns}
@@ -69,40 +62,8 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/velotrace/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: its lineage ends there and a lost executor costs no rerun."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _at[id(out)] = (weakref.ref(out), path)
-    return out
-
-
-_at: dict = {}
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes written tables that nothing reads any more, so that a long session doesn't keep them all."""
-    for t in tables:
-        seen, path = _at.pop(id(t), (None, None))
-        if seen is None or seen() is not t:
-            continue
-        spark = t.sparkSession
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def gapless_rank(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], into: str) -> DataFrame:
-    """Numbers the rows of each group from 0 without gaps, by (bucket, order).
+def gapless_rank(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], into: str, weight: str | None = None) -> DataFrame:
+    """Numbers the rows of each group from 0 without gaps, by (bucket, order); with a weight, a row stands for so many.
 
     A group is never sorted as a whole: each bucket is numbered alone and starts at the count of the buckets before
     it, so a group that holds a third of all rows is spread over as many tasks as it has buckets. groups and bucket
@@ -110,12 +71,33 @@ def gapless_rank(df: DataFrame, groups: list[str], bucket: Column, order: list[C
     """
     d = df.withColumn("_bucket", bucket)
     keys = [*groups, "_bucket"]
-    count = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count"))
+    count = d.groupBy(*keys).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_count"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = count.select(*keys, F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
     base = base.repartition(*keys)  # else the rows would be dealt by the groups alone, as the window above is
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return d.join(base, keys).withColumn(into, F.col("_base") + rank - 1).drop("_bucket", "_base")
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    rank = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.row_number().over(inside) - 1
+    return d.join(base, keys).withColumn(into, F.col("_base") + rank).drop("_bucket", "_base")
+
+
+#: Numbers that are written out in one go.
+RUN = 10_000
+
+
+def gapless_copies(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], into: str) -> DataFrame:
+    """gapless_rank for rows that may be there any number of times: equal ones are counted before anything is dealt out
+    and get a run of numbers, so neither a bucket nor a task is filled by a row that is there very often.
+
+    bucket and order are of columns of df; the order must tell different rows apart.
+    """
+    counted = written(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies")), "counted")
+    ranked = gapless_rank(counted, groups, bucket, order, "_first", "_copies")
+    # a run is written out in steps, so that a long one is dealt out too
+    runs = ranked.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(RUN).cast("long"))))
+    if not counted.where(F.col("_copies") > RUN).isEmpty():
+        runs = runs.repartition(F.col("_first") + F.col("_step"))
+    begin, end = F.col("_first") + F.col("_step"), F.col("_first") + F.least(F.col("_copies"), F.col("_step") + RUN) - 1
+    return runs.select(*df.columns, F.explode(F.sequence(begin, end)).alias(into))
 
 
 def md5_bucket(value: Column, digits: int = 3) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import gapless_rank, md5_bucket, ship
+from .common import gapless_copies, md5_bucket, ship
 
 LAW = "key"
 #: Added to the UTF-8 bytes of a text for its record's size.
@@ -49,23 +49,27 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
 
     A key that isn't a whole number is hashed first. Null keys count as key 0; rows that share a key share a shard. A
     null text has the size of the overhead and the checksum of an empty text. Slots are gapless in each shard, by
-    bucket, key, checksum. Other columns are left out, so their names can't clash. An empty table gives no rows.
+    bucket, key, checksum, size. Other columns are left out, so their names can't clash. An empty table gives no rows.
+
+    Rows that are equal in all that is returned are counted before anything is dealt out and get a run of slots, so
+    neither a key nor a row that is there very often fills a task.
     """
     ship(df.sparkSession)
     kind = dict(df.dtypes)[key]
     k = F.col(key).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
-        F.col(key),
-        k.alias("_key"),
+        F.col(key).alias("id"),
+        k.alias("key"),
         (F.octet_length(body).cast("long") + RECORD_OVERHEAD).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-    ).withColumns({"shard": shard_of(F.col("_key"), shards), "grown_shard": shard_of(F.col("_key"), shards + 1)})
-    ranked = gapless_rank(rows, ["shard"], md5_bucket(F.col("_key")), [F.col("_key"), F.col("text_crc32"), F.col("size")], "slot")
-    return ranked.select(F.col(key), "size", "text_crc32", F.lit(LAW).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    ).withColumns({"shard": shard_of(F.col("key"), shards), "grown_shard": shard_of(F.col("key"), shards + 1)})
+    bucket = md5_bucket(F.concat_ws(":", F.coalesce(F.col("key"), F.lit(0)), "text_crc32", "size"))
+    ranked = gapless_copies(rows, ["shard"], bucket, [F.col(c) for c in ("key", "text_crc32", "size", "id")], "slot")
+    return ranked.select(F.col("id").alias(key), "size", "text_crc32", F.lit(LAW).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Writes the rows of df as one folder a shard; files of a shard are split by size, not by shard."""
+    """Writes the rows of df as one folder a shard; files of a shard are split by size, not by shard. Keys must be unique."""
     out = df.join(assigned.select(key, "shard", "slot"), key)
     out.write.partitionBy("shard").option("maxRecordsPerFile", 500_000).parquet(path)
