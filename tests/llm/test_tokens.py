@@ -139,3 +139,45 @@ def test_packing(spark, docs, empty, odd_texts, library):
     placed = packing.pack(whole, capacity=256)
     full = packing.sequences(whole, placed, capacity=256)
     assert full.count() == placed.select("sequence_id").distinct().count()
+
+
+def test_white_space_covers_the_pattern_s():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import regex
+
+    found = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and regex.match(r"\s", chr(i))]
+    assert len(found) > 20 and pc.all(pc.utf8_is_space(pa.array(found))).as_py()
+
+
+def test_parts_are_the_pattern_s(odd_texts):
+    """Chunks of every kind, with and without a letter outside Latin script, short and very long."""
+    import pyarrow as pa
+
+    e = tokens.LibraryEncoder(tokens.default_vocabulary())
+    rng = random.Random(4)
+    chunks = ["", " ", "\n", "a", " a", "\na", "a.", " a!?", "\na,", "\n", " \n", "don't", " don't.", "x1", " 12,", ".", " ...", "a b", "é ", "'s", " 's", "\n\n", "\n'll", "ɏ", "ɐ", "日", "x" * 5000, " " + "y" * 1500 + "!!", "ª", "ǅ.", "á"]
+    chunks += ["".join(rng.choice("ab \n.,'1éßÿ") for _ in range(rng.randint(0, 6))) for _ in range(500)]
+    near = e.near(pa.array(chunks, pa.string()))
+    assert [c for c, n in zip(chunks, near) if not n] == [c for c in chunks if any(x >= "ɐ" for x in c)]
+    mine = [c for c, n in zip(chunks, near) if n]
+    got, counts = e.parts(pa.array(["skip", *mine], pa.string()).slice(1))
+    want = [e.split.findall(c) for c in mine]
+    assert counts.tolist() == list(map(len, want)) and got.to_pylist() == [p for w in want for p in w]
+
+
+def test_a_token_that_merging_does_not_reach(tmp_path):
+    """A piece that is such a token is looked up as a whole, as the library does; within a longer piece it isn't found."""
+    import base64
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"abc": 256, b"de": 257, b"def": 258}
+    (tmp_path / "r").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    mine = bpe.Bpe(str(tmp_path / "r"), r"[a-z]+|.")
+    library = tiktoken.Encoding("small", pat_str=r"[a-z]+|.", mergeable_ranks=ranks, special_tokens={})
+    assert set(mine.unreached) == {b"abc"}
+    texts = ["abc", "abcd", "abc abc def", "", "x", "deabc", "abc!abc"]
+    import pyarrow as pa
+
+    ids, counts = mine(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts]
+    assert not bpe.Bpe(bpe.default_ranks(), bpe.default_pattern()).unreached

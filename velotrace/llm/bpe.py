@@ -4,6 +4,9 @@ Pieces of text (matches of the splitting pattern) that a worker hasn't met are l
 for each bucket of lengths, padded on the right. In each round every row merges its leftmost pair of least rank and closes the
 hole; the ranks of the two pairs beside it are looked up in a hash table of pairs, and rows without a pair to merge
 leave the matrix. The few pieces over LONGEST bytes are merged in the same order by a heap.
+
+A piece that is a token as a whole is not looked up first: every token of these ranks is what merging its bytes gives.
+Bpe checks that for the ranks it is given, and looks such pieces up if they hold a token that merging doesn't reach.
 """
 
 from __future__ import annotations
@@ -109,6 +112,10 @@ class Bpe:
         self.digit_sizes = np.array([len(d) for d in digits], np.int64)
         self.digit_at = offsets(self.digit_sizes)
         self.digit_bytes = np.frombuffer(b"".join(digits), np.uint8)
+        self.unreached: dict[bytes, int] = {}
+        ids, counts = self.encode_pieces(tokens)
+        hit = (counts == 1) & (ids[np.minimum(offsets(counts)[:-1], max(len(ids) - 1, 0))] == np.arange(self.size))
+        self.unreached = {t: r for t, r in ranks.items() if not hit[r]}
 
     def merge(self, ids: np.ndarray) -> np.ndarray:
         """Rows of ids, padded with -1, each merged to its end; changes and returns ids."""
@@ -170,6 +177,18 @@ class Bpe:
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after another, and how many each has."""
+        alone = [i for i, p in enumerate(pieces) if p in self.unreached] if self.unreached else []
+        if alone:
+            rest = list(pieces)
+            for i in alone:
+                rest[i] = b""
+            ids, counts = self.merged(rest)
+            ids = np.insert(ids, offsets(counts)[alone], [self.unreached[pieces[i]] for i in alone])
+            counts[alone] = 1
+            return ids, counts
+        return self.merged(pieces)
+
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
         at = offsets(sizes)[:-1]
@@ -207,9 +226,9 @@ class Bpe:
         start[sizes == 0] = 0
         return gather(np.concatenate(parts), start, counts), counts
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For the chunk cache: ids and counts of texts, each distinct piece encoded once."""
-        found = [self.pattern.findall(t) for t in texts]
+        found = [self.pattern.findall(t) for t in texts.to_pylist()]
         index = _Index()
         per = np.fromiter(map(len, found), np.int64, len(found))
         at = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, int(per.sum()))

@@ -9,7 +9,7 @@ together; texts with other runs are taken whole; each distinct chunk is encoded
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +46,23 @@ def _cut(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(out, "\0")
 
 
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of strings without nulls, one after another, and where each string begins and the last ends."""
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if at else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8)
+    return flat, at - at[0]
+
+
 class ChunkEncoder:
-    """Encodes texts by way of their distinct chunks, which encode(list of str) -> (flat ids, counts) handles."""
+    """Encodes texts by way of their distinct chunks, which encode(array of strings) -> (flat ids, counts) handles."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.uint16, keep: int = KEEP, keep_chars: int = KEEP_CHARS):
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], dtype=np.uint16, keep: int = KEEP, keep_chars: int = KEEP_CHARS):
         self.encode, self.dtype, self.keep, self.keep_chars = encode, dtype, keep, keep_chars
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.chars = _Index(), 0
+        self.known, self.chars = {}, 0
         self.ids = np.zeros(0, self.dtype)
         self.at = np.zeros(1, np.int64)
         self.opens = self.closes = np.zeros(0, bool)
@@ -68,23 +76,24 @@ class ChunkEncoder:
         if 2 * len(keys) > self.keep or 2 * chars > self.keep_chars:
             self.clear()
             return
-        self.known, self.chars = _Index(), chars
-        self.known.update(zip(keys, range(len(keys))))
+        self.known, self.chars = dict(zip(keys, range(len(keys)))), chars
         sizes = np.diff(self.at)[stay]
         self.ids = gather(self.ids, self.at[:-1][stay], sizes)
         self.at = offsets(sizes)
         self.opens, self.closes, self.used = self.opens[stay], self.closes[stay], np.ones(len(keys), np.int64)
 
-    def _learn(self) -> None:
-        new, self.known.new = self.known.new, []
-        got = [self.encode(new[i : i + LEARN]) for i in range(0, len(new), LEARN)]
+    def _learn(self, new: pa.Array) -> None:
+        got = [self.encode(new.slice(i, LEARN)) for i in range(0, len(new), LEARN)]
         ids, sizes = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        self.chars += sum(map(len, new))
+        self.chars += pc.sum(pc.utf8_length(new)).as_py()
         self.ids = np.concatenate([self.ids, ids.astype(self.dtype)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        # str.isspace covers at least what the pattern takes for white space
-        self.opens = np.concatenate([self.opens, np.fromiter((x[0:1] == "\n" or x[0:1] == " " and (len(x) == 1 or x[1].isspace()) for x in new), bool, len(new))])
-        self.closes = np.concatenate([self.closes, np.fromiter((x[-1:].isspace() for x in new), bool, len(new))])
+        # what counts as white space here covers at least what the pattern takes for it
+        flag = lambda x: x.to_numpy(zero_copy_only=False)
+        space = lambda a, b: flag(pc.utf8_is_space(pc.utf8_slice_codeunits(new, a, b)))
+        alone = flag(pc.equal(new, " "))
+        self.opens = np.concatenate([self.opens, flag(pc.starts_with(new, "\n")) | flag(pc.starts_with(new, " ")) & (alone | space(1, 2))])
+        self.closes = np.concatenate([self.closes, space(-1, None)])
 
     def encode_all(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has; null counts as empty."""
@@ -102,11 +111,15 @@ class ChunkEncoder:
         at = cut.offsets.to_numpy().astype(np.int64)
         at -= at[0]
         distinct = cut.flatten().dictionary_encode()
-        words = np.fromiter(map(self.known.__getitem__, distinct.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(distinct.dictionary))
+        keys = distinct.dictionary.to_numpy(zero_copy_only=False)
+        words = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        fresh = np.flatnonzero(words < 0)
+        if len(fresh):
+            words[fresh] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self.known.update(zip(keys[fresh].tolist(), words[fresh].tolist()))
+            self._learn(distinct.dictionary.take(pa.array(fresh)))
         index = words[distinct.indices.to_numpy()]
-        del cut, distinct
-        if self.known.new:
-            self._learn()
+        del cut, distinct, keys
         self.used = np.pad(self.used, (0, len(self.known) - len(self.used))) + np.bincount(index, minlength=len(self.known))
         lens = np.diff(self.at)[index]
         counts = np.diff(offsets(lens)[at])
@@ -118,7 +131,7 @@ class ChunkEncoder:
         if whole:
             again = sorted(whole)
             pieces = np.split(flat, offsets(counts)[1:-1])
-            ids, n = self.encode(whole_texts.take(pa.array(again)).to_pylist())
+            ids, n = self.encode(whole_texts.take(pa.array(again)))
             for i, g, k in zip(again, np.split(ids.astype(self.dtype), offsets(n)[1:-1]), n):
                 pieces[i], counts[i] = g, k
             flat = np.concatenate(pieces)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, give_back, md5_bucket, offsets, ship, written
+from .common import gapless_copies, give_back, md5_bucket, offsets, ship, written
 from .tokens import default_vocabulary, encode_blocks
 
 CAPACITY, END_ID = 1024, 2
@@ -162,7 +162,8 @@ def place(cut_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut_.sparkSession
     histogram = {r[0]: r[1] for r in cut_.groupBy("length").count().collect()}  # at most capacity rows
     key, seq, at, first = places(plan(histogram, capacity))
-    ranked = gapless_rank(cut_, ["length"], md5_bucket(F.concat_ws(":", "doc_id", "piece")), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "_rank")
+    bucket = md5_bucket(F.concat_ws(":", F.coalesce(F.col("doc_id"), F.lit(0)), "piece", "ids_crc32"))
+    ranked = gapless_copies(cut_, ["length"], bucket, [F.col(c) for c in ("doc_id", "piece", "ids_crc32", "start")], "_rank")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,7 +176,12 @@ def place(cut_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a row for each piece of each document."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a row for each piece of each document.
+
+    A null text is empty and has the end id alone. Rows that share an id, are repeated or have none are each packed;
+    pieces of one length are dealt out by id, piece and checksum, so that neither fills a task. Other columns are left out;
+    an empty table gives no rows.
+    """
     return place(written(pieces(df, capacity, end_id, vocabulary), "pieces"), capacity)
 
 

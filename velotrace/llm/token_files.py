@@ -185,7 +185,7 @@ def write(df: DataFrame, path: str, end_id: int = END_ID, vocabulary: str | None
     """Encodes (doc_id, text), writes the shards into path, and returns their manifest: (shard, docs, ids, start).
 
     Null texts are empty and hold the end id alone; null ids come first; rows that share an id all are written, in any
-    order. An empty table writes no shard. Other columns are left out. path must be seen by driver and executors.
+    order, and told apart by their occurrence within a shard. An empty table writes no shard. Other columns are left out. path must be seen by driver and executors.
     """
     spark = df.sparkSession
     ship(spark)
