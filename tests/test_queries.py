@@ -55,8 +55,9 @@ def test_entry(spark):
 
 
 def test_every_ping_is_snapped(spark, duck):
-    got = registry.QUERIES["J9_snapped_all"](spark, SF)
-    near = duck.sql(registry.ORACLES["J9_snapped_all"]).fetchall()
+    """None is left out by its number."""
+    got = registry.QUERIES["J9_snapped"](spark, SF)
+    near = duck.sql(registry.ORACLES["J9_snapped"]).fetchall()
     assert got.where("src_seq % 10 <> 0").count() == sum(i % 10 != 0 for i, _ in near) > 0
-    some = {tuple(r) for r in got.where("src_seq % 10 = 0").collect()}
-    assert {tuple(r) for r in registry.QUERIES["J9_snapped"](spark, SF).collect()} == some
+    assert got.count() == len(near)
+

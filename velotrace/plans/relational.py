@@ -12,7 +12,7 @@ from ..sources import pings as P
 from ..sources.geometry import wkt_points
 from ..sources.sinks import geojson_features, wkt_line
 from .registry import query
-from .trajectory import CTE, GATED, POINTS, W, featured, gated_points, hav, labelled, numbered, pings, table
+from .trajectory import CTE, GATED, POINTS, featured, gated_points, hav, numbered, table
 
 
 def _filter(name: str, condition: str) -> None:
