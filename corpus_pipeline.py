@@ -32,12 +32,12 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     row = free_name(docs, "row")
     keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
     found = jaccard.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), WORDS, NUMERATOR, DENOMINATOR)
-    found = written(found.select(F.col("doc_id").alias(row), F.col("component_id").alias("_group")), "components")
-    shared = written(found.where(F.col(row) != F.col("_group")).select("_group").distinct(), "groups")
-    members = found.join(shared, "_group", "left_semi").join(keyed.select(row, "doc_id"), row)
+    found = found.select(F.col("doc_id").alias(row), F.col("component_id").alias("_group"))
+    members = written(found.join(keyed.select(row, "doc_id"), row), "members")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
-    stays = members.groupBy("_group").agg(F.min(order)[row].alias("_stays"))
-    drop = written(members.join(stays, "_group").where(F.col(row) != F.col("_stays")).select(row), "copies")
+    stays = members.groupBy("_group").agg(F.min(order)[row].alias("_stays")).select("_stays")
+    # by row, which no group shares, so that a large group isn't one task's
+    drop = written(members.select(row).join(stays, F.col(row) == F.col("_stays"), "left_anti"), "copies")
     few = drop.count() <= jaccard.BROADCAST_IDS
     return keyed.join(F.broadcast(drop) if few else drop, row, "left_anti").select(*docs.columns)
 
