@@ -30,12 +30,31 @@ def test_stages_against_brute_force(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == whole.count()
 
 
+CLASHES = ["language", "spans", "_at", "_host", "_prior", "_rules", "_key", "_low", "row", "key", "body", "rules", "doc", "node", "digest", "prefix", "_group", "_stays", "host", "prior", "said"]
+
+
 def test_odd_rows_go_through(spark, docs, empty):
+    """Rows of every odd kind, and columns whose names the operators use themselves, with their values."""
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    for d in (docs.select(*names), empty.select(*names)):
-        for _, stage in corpus_pipeline.STAGES:
+    extra = [F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES]
+    for d in (docs.select(*names, *extra), docs, empty.select(*names, *extra), empty):
+        begin = d
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             d = corpus_pipeline.written(stage(spark, d, SF), "stage")
-        d.count()
+            assert d.columns == begin.columns
+            if "node" in d.columns:
+                assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in d.collect() for c in CLASHES)
+        packed = corpus_pipeline.written(corpus_pipeline.best_fit_packing(spark, d, SF), "stage")
+        assert packed.where("piece = 0").count() == d.count()
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Only a row that another one stands for goes."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, a), (None, b), (None, c), (3, c + " tail"), (None, "alone here"), (8, None), (8, ""), (2, a.upper())]
+    d = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(corpus_pipeline.ngram_jaccard(spark, d, SF).select("doc_id", "text").collect(), key=str)
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(2, a.upper()), (5, b), (3, c + " tail"), (None, "alone here"), (8, None), (8, "")], key=str)
 
 
 def test_each_operator_has_its_query():

@@ -264,9 +264,10 @@ def with_priors(d: DataFrame, table: DataFrame, languages: int) -> DataFrame:
 
 
 def documents(docs: DataFrame, into: str = "language") -> DataFrame:
-    """identify() for documents (doc_id, text, lang, source): lang is the label to fit on and what a document declares,
-    source is its host. Null, empty and repeated rows, extra columns and empty tables as there."""
-    return identify(docs, fit(docs, "text", "lang", "doc_id"), declared=F.col("lang"), host=F.col("source"), into=into)
+    """identify() for documents (doc_id, text, lang, source): lang is the label to fit on and no evidence, source is the
+    host. Documents declare nothing and have no address; pages() has both. Null, empty and repeated rows, extra columns and
+    empty tables as there."""
+    return identify(docs, fit(docs, "text", "lang", "doc_id"), host=F.col("source"), into=into)
 
 
 def pages(df: DataFrame, docs: DataFrame) -> DataFrame:
