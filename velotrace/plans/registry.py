@@ -23,11 +23,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
-
-
-def load() -> None:
-    """Imports the modules that register queries."""
-    from . import network, relational, singles, spatial, storage, trajectory  # noqa: F401
-
-
-load()
