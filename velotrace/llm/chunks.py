@@ -20,7 +20,7 @@ from .common import gather, offsets
 #: Distinct chunks, and their characters, that a worker keeps between batches; a bound on memory, without effect on results.
 KEEP, KEEP_CHARS = 250_000, 5_000_000
 #: Bytes of text that are encoded at a time.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: New chunks that are encoded at a time.
 LEARN = 40_000
 
