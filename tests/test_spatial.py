@@ -82,7 +82,7 @@ def test_fishnet_keeps_lengths(spark):
     assert all(abs(got[i] - math.hypot(c - a, e - b)) < 1e-6 for i, a, b, c, e in rows)
 
 
-@pytest.mark.parametrize("tolerance,held", [(30.0, True), (30.0, False), (200.0, True)])
+@pytest.mark.parametrize("tolerance,held", [(30.0, True), (30.0, False), (200.0, True), (600.0, True), (600.0, False)])
 def test_nearest_segment_against_all_pairs(spark, monkeypatch, tolerance, held):
     if not held:
         monkeypatch.setattr(relational, "BROADCAST_BYTES", 0)

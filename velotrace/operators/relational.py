@@ -145,26 +145,46 @@ def squares(segments: DataFrame, tolerance: float, side: float, payload: list[st
     return s.dropDuplicates(["road_idx", "_c", "_r"]).groupBy("_c", "_r").agg(F.collect_list("_s").alias("_near"))
 
 
+#: Parts of a tolerance that are looked at first, as long as they are no less than so many metres.
+NEARER, NEAR_METRES = (8, 4), 50.0
+
+
 def with_nearest(points: DataFrame, segments: DataFrame, tolerance: float, payload: list[str], x: Column, y: Column, into: str) -> DataFrame:
     """For each row the nearest segment (road_idx, x1, y1, x2, y2) of its point within a distance, ties to the
     smaller road_idx: a struct of distance, road_idx, position along it and the payload, null where there is none.
 
-    Roads are bounded by the city: their squares are written and broadcast behind a check of their bytes, so points
-    aren't moved. With more, points and squares are joined by a shuffle.
+    What is found within a part of a wide tolerance is the nearest of all, so few points look far. Roads are bounded by the
+    city: their squares are written and broadcast behind a check of their bytes, so points aren't moved; parts whose
+    squares would be more are left out. Where those of the whole tolerance are, points and squares are joined by a shuffle.
     """
-    side = max(float(tolerance), min(4.0 * tolerance, 120.0))
-    near = cut_lineage(squares(segments, tolerance, side, payload))
-    entries = near.agg(F.coalesce(F.sum(F.size("_near")), F.lit(0))).first()[0]
-    small = entries * (64 + 24 * len(payload)) + 64 * near.count() <= BROADCAST_BYTES
-    d = points.withColumns({"_c": F.floor(x / side).cast("long"), "_r": F.floor(y / side).cast("long"), "_x": x, "_y": y})
-    d = d.join(F.broadcast(near) if small else near, ["_c", "_r"], "left")
+    d = points.withColumns({"_x": x, "_y": y})
+    found = None
+    for part in (*NEARER, 1):
+        reach = float(tolerance) / part
+        if part > 1 and reach < NEAR_METRES:
+            continue
+        side = max(reach, min(4.0 * reach, 120.0))
+        near = cut_lineage(squares(segments, reach, side, payload))
+        entries = near.agg(F.coalesce(F.sum(F.size("_near")), F.lit(0))).first()[0]
+        small = entries * (64 + 24 * len(payload)) + 64 * near.count() <= BROADCAST_BYTES
+        if part > 1 and not small:
+            continue
+        d = d.withColumns({"_c": F.floor(F.col("_x") / side).cast("long"), "_r": F.floor(F.col("_y") / side).cast("long")})
+        d = d.join(F.broadcast(near) if small else near, ["_c", "_r"], "left")
+        best = _nearest(reach, payload)
+        d = d.withColumn(into, best if found is None else F.when(F.col(into).isNull(), best).otherwise(F.col(into))).drop("_c", "_r", "_near")
+        found = into
+    return d.drop("_x", "_y")
+
+
+def _nearest(reach: float, payload: list[str]) -> Column:
+    """The nearest of the segments _near of a row's square within reach of its point."""
 
     def placed(s: Column) -> Column:
         away, along = geometry.point_segment(F.col("_x"), F.col("_y"), s["x1"], s["y1"], s["x2"], s["y2"])
         return F.struct(away.alias("distance"), s["road_idx"].alias("road_idx"), along.alias("position"), *[s[c].alias(c) for c in payload])
 
-    best = F.array_min(F.filter(F.transform("_near", placed), lambda s: s["distance"] <= float(tolerance)))
-    return d.withColumn(into, best).drop("_c", "_r", "_x", "_y", "_near")
+    return F.array_min(F.filter(F.transform("_near", placed), lambda s: s["distance"] <= reach))
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, tolerance: float, payload: list[str]) -> DataFrame:
