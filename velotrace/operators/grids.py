@@ -68,13 +68,16 @@ def hex_hours(df: DataFrame, speed: str, congested: Column, c: Settings = DEFAUL
 
 def histogram(points: DataFrame, grid: Grid, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
     """A3: counts, or sums of a weight, of points (x, y) in cells; points beyond the grid are left out."""
-    inside = (F.col("x") >= grid.xmin) & (F.col("x") < grid.xmax) & (F.col("y") >= grid.ymin) & (F.col("y") < grid.ymax)
-    col = F.floor((F.col("x") - grid.xmin) / grid.cell).cast("long")
-    row = (F.lit(grid.height - 1) - F.floor((F.col("y") - grid.ymin) / grid.cell)).cast("long")
-    value = F.sum(weight) if weight else F.count(F.lit(1)).cast("double")
-    if weight:  # a weight that is no number takes no part
-        inside = inside & finite(F.col(weight).cast("double"))
-    return points.where(inside).groupBy(*(by or []), row.alias("row"), col.alias("col")).agg(value.alias("value"))
+    # what is no number, or far off, lies in a cell beyond the grid
+    place = lambda v: F.floor(F.greatest(F.least(v / grid.cell, F.lit(1e9)), F.lit(-1e9))).cast("long")
+    col, row = place(F.col("x") - grid.xmin), F.lit(grid.height - 1) - place(F.col("y") - grid.ymin)
+    fine = finite(F.col(weight).cast("double")) if weight else F.lit(True)  # a weight that is no number takes no part
+    value = F.sum(F.when(fine, F.col(weight))) if weight else F.count(F.lit(1)).cast("double")
+    d = points.groupBy(*(by or []), row.alias("row"), col.alias("col")).agg(value.alias("value"), F.count_if(fine).alias("_n"))
+    # cells are left out after they are counted, by a condition that can't be moved below, where x and y would be worked out
+    # again for each of its uses
+    inside = F.when(F.col("_n") > 0, F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1))
+    return d.where(inside).drop("_n")
 
 
 def kernel(radius: float, cell: float, script: bool = False) -> list[tuple[int, int, float]]:
@@ -94,6 +97,7 @@ def density(cells: DataFrame, grid: Grid, radius: float, by: list[str] | None =
     """SP12: points a square kilometre: each cell spreads over the kernel's offsets, a table of constants; values under
     a millionth of the highest are dropped."""
     by = by or []
+    cells = cut_lineage(cells)  # as many as the grid has at most, and read twice
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w")) for i, j, w in kernel(radius, grid.cell, script)])
     spread = cells.select(*by, "row", "col", "value", F.explode(offsets).alias("o"))
     row, col = F.col("row") + F.col("o.i"), F.col("col") + F.col("o.j")
