@@ -38,7 +38,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stays = members.groupBy("_group").agg(F.min(order)[row].alias("_stays")).select("_stays")
     # by row, which no group shares, so that a large group isn't one task's
     drop = written(members.select(row).join(stays, F.col(row) == F.col("_stays"), "left_anti"), "copies")
-    few = drop.count() <= jaccard.BROADCAST_IDS
+    few = drop.count() <= jaccard.HELD_IDS
     return keyed.join(F.broadcast(drop) if few else drop, row, "left_anti").select(*docs.columns)
 
 

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from velotrace.llm import jaccard, knn
 from velotrace.llm.common import components
@@ -130,6 +131,22 @@ def test_near_copies_and_passages(spark, monkeypatch, docs, elements, scan, few,
     check(spark, texts, **costs)
 
 
+@pytest.mark.parametrize("held", [500_000, 0])
+def test_ids_and_elements_make_no_objects_on_the_driver(spark, monkeypatch, held):
+    """Copies, near copies and a passage that calls nobody: ids and costly elements come as arrays or not at all."""
+    monkeypatch.setattr(jaccard, "HELD_IDS", held)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", held)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = {i: " ".join(f"w{i // 3}x{j}" for j in range(60)) + (" end" if i % 3 else "") for i in range(9)}
+    texts |= {100 + i: f"{passage} a{i} b{i}" for i in range(30)}
+    fetched, collect = [], DataFrame.collect
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", lambda self: fetched.append(collect(self)) or fetched[-1])
+        d = jaccard.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert max(map(len, fetched)) <= 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in d.collect()} == plain_components(texts)
+
+
 def test_rows_without_an_id_and_repeated_ids(spark, empty):
     assert jaccard.near_duplicates(empty).count() == 0
     rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (7, "a b c d"), (3, "x y z"), (5, "x y z"), (9, None)]
