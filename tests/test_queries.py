@@ -61,3 +61,12 @@ def test_every_ping_is_snapped(spark, duck):
     assert got.where("src_seq % 10 <> 0").count() == sum(i % 10 != 0 for i, _ in near) > 0
     assert got.count() == len(near)
 
+
+
+def test_points_on_an_edge_of_hexagons(spark, tmp_path):
+    """Where x is 0 two roundings are equally far, and the last bit decides as it does in the SQL."""
+    ids = [101482, 111455, 201212, 211185, 320888, *range(101482 % 9973, 6_000_000, 9973)]
+    duckdb.sql(f"copy (select unnest({ids})::BIGINT as event_id) to '{tmp_path}/events.parquet'")
+    got = registry.QUERIES["SP5_axial"](spark, str(tmp_path)).collect()
+    want = duckdb.sql(registry.ORACLES["SP5_axial"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 #: Axial steps to the six neighbours. Fixed values.
 NEIGHBOURS = ((1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1))
@@ -18,12 +20,21 @@ def circumradius(size: float) -> float:
 
 
 def with_axial(df: DataFrame, size: float, x: str = "x", y: str = "y", q: str = "q", r: str = "r") -> DataFrame:
-    """SP5 and SP6: df with the hexagon of a point; ties as the cube rounding has them."""
+    """SP5 and SP6: df with the hexagon of a point; ties as the cube rounding has them.
+
+    On an edge of hexagons the last bit decides. Decimal coordinates are therefore multiplied as decimals, the product
+    being rounded once, when it becomes a double, and summed in the order of their SQL (SP5); doubles in that of theirs.
+    """
     c = circumradius(size)
-    d = df.withColumns({"_qf": (F.col(x) * (SQRT3 / 3) - F.col(y) / 3) / c, "_rf": (F.col(y) * (2.0 / 3)) / c})
+    exact = isinstance(df.schema[x].dataType, DecimalType)
+
+    def times(name: str, k: float) -> Column:
+        return (F.col(name) * F.lit(Decimal(repr(k)))).cast("double") if exact else F.col(name) * k
+
+    d = df.withColumns({"_qf": (times(x, SQRT3 / 3) - F.col(y).cast("double") / 3) / c, "_rf": times(y, 2.0 / 3) / c})
     qf, rf = F.col("_qf"), F.col("_rf")
     d = d.withColumns({"_q": F.rint(qf), "_r": F.rint(rf), "_s": F.rint(-qf - rf)})
-    d = d.withColumns({"_dq": F.abs(F.col("_q") - qf), "_dr": F.abs(F.col("_r") - rf), "_ds": F.abs(F.col("_s") - (-qf - rf))})
+    d = d.withColumns({"_dq": F.abs(F.col("_q") - qf), "_dr": F.abs(F.col("_r") - rf), "_ds": F.abs(F.col("_s") + qf + rf if exact else F.col("_s") - (-qf - rf))})
     fix_q = (F.col("_dq") > F.col("_ds")) & (F.col("_dq") > F.col("_dr"))
     fixed = {
         q: F.when(fix_q, -F.col("_s") - F.col("_r")).otherwise(F.col("_q")).cast("long"),

@@ -85,7 +85,7 @@ d AS (SELECT *, abs(q - qf) AS dq, abs(r - rf) AS dr, abs(s + qf + rf) AS ds FRO
 SELECT event_id, CAST(CASE WHEN dq > dr AND dq > ds THEN -r - s ELSE q END AS BIGINT) AS q, CAST(CASE WHEN dq > dr AND dq > ds THEN r WHEN dr >= ds THEN -q - s ELSE r END AS BIGINT) AS r FROM d""",
 )
 def axial(spark, sf_dir):
-    d = events(spark, sf_dir).select("event_id", (e() * 37 % 9973 - 4986).cast("double").alias("x"), (e() * 101 % 9967 - 4983).cast("double").alias("y"))
+    d = events(spark, sf_dir).select("event_id", (e() * 37 % 9973 - 4986).cast("decimal(10,1)").alias("x"), (e() * 101 % 9967 - 4983).cast("decimal(10,1)").alias("y"))
     return hexgrid.with_axial(d, 300.0).select("event_id", "q", "r")
 
 
