@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from velotrace.plans import registry
+from velotrace.plans.trajectory import GATED
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +71,14 @@ def test_points_on_an_edge_of_hexagons(spark, tmp_path):
     got = registry.QUERIES["SP5_axial"](spark, str(tmp_path)).collect()
     want = duckdb.sql(registry.ORACLES["SP5_axial"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_a_trip_that_ends_where_it_began_is_exported(spark, tmp_path):
+    """It has no path, but lies in the area."""
+    c, at = duckdb.connect(), f"{tmp_path}/events.parquet"
+    c.sql("create view events as select * from '/root/testdata/sf0.1/events.parquet'")
+    c.sql(f"copy (select * from events where cast(user_id as varchar) in ({GATED} select taxi_id from numbered where olon = dlon and olat = dlat)) to '{at}'")
+    c.sql(f"create or replace view events as select * from '{at}'")
+    want = c.sql(registry.ORACLES["R7_final_export"]).fetchall()
+    assert c.sql(f"{GATED} select count(*) from numbered where olon = dlon and olat = dlat").fetchall()[0][0] > 0
+    assert [tuple(r) for r in registry.QUERIES["R7_final_export"](spark, str(tmp_path)).collect()] == want

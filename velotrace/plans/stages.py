@@ -91,12 +91,21 @@ def solve_path_sets(spark: SparkSession, trips_path: str, roads_path: str, out:
 
 
 def select_morning(spark: SparkSession, paths_path: str, trips_path: str, areas: DataFrame, out: str, hours: tuple[int, int] = (7, 9), cell: float = 1000.0) -> StageResult:
-    """The path sets of trips (route_id, start_time, end_time) that overlap the morning and whose paths meet an area."""
+    """The path sets of trips (route_id, start_time, end_time) that overlap the morning and whose paths meet an area.
+
+    A trip that begins and ends at one place has no path; if trips have their ends (sx, sy, ex, ey), it is held against
+    the areas by them.
+    """
 
     def stage(p: DataFrame, c: Settings, _: str) -> DataFrame:
         t = spark.read.parquet(trips_path)
-        morning = t.where(overlaps_daily(F.col("start_time"), F.col("end_time"), hours[0] * 60, hours[1] * 60)).select("route_id")
-        d = p.where("status = 'ok'").join(morning, "route_id", "left_semi").withColumn("_path", F.concat_ws("/", "route_id", "alt_rank"))
+        morning = t.where(overlaps_daily(F.col("start_time"), F.col("end_time"), hours[0] * 60, hours[1] * 60))
+        d = p.where("status = 'ok'").join(morning, "route_id", "left_semi").select("route_id", "alt_rank", "points")
+        if {"sx", "sy", "ex", "ey"} <= set(t.columns):
+            between = F.array(*[F.struct(F.col(f"{i}x").alias("x"), F.col(f"{i}y").alias("y")) for i in "se"])
+            still = p.where("status = 'zero_distance'").select("route_id", "alt_rank")
+            d = d.unionByName(still.join(morning.select("route_id", between.alias("points")), "route_id"))
+        d = d.withColumn("_path", F.concat_ws("/", "route_id", "alt_rank"))
         met = flagged(d, "_path", "points", areas, cell).where("in_area = 1").select("route_id").distinct()
         return p.join(met, "route_id", "left_semi")
 
